@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import linededup, mixing, sharding, simhash
-from corpusloom.llm.base import prepare, table
+from corpusloom.llm import linededup, mixing, separators, sharding, simhash, sketches, sstable
+from corpusloom.llm.base import table
 
 
 def op1_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +35,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(linededup.keep_bitmaps(table(spark, sf_dir, "documents")))
 
 
+def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50256)
+
+
+def op10_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_consistent_hash_shards, op5_weighted_mix, op6_simhash_components, op7_line_dedup)}
+    found = {f.__name__: f for f in (op1_consistent_hash_shards, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables)}
     return found
 
 
