@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import linededup, mixing, separators, sharding, simhash, sketches, sstable
+from corpusloom.llm import linededup, mixing, separators, sharding, simhash, sketches, sstable, suffixes
 from corpusloom.llm.base import table
 
 
@@ -20,6 +20,11 @@ def op1_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_words", F.col("end_word") - F.col("start_word"))
+
+
 def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("int"))
@@ -48,7 +53,7 @@ def op10_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_consistent_hash_shards, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables)}
+    found = {f.__name__: f for f in (op1_consistent_hash_shards, op2_suffix_repeats, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables)}
     return found
 
 
