@@ -86,6 +86,6 @@ def mix_documents(docs: DataFrame, labels: DataFrame, share: float = 1.5, cap: f
 
 def mixed_corpus(docs: DataFrame, labels: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """docs as often as the mix takes them: 0 to cap times. Columns as in docs; rows that repeat a doc_id share its fate."""
-    takes = mix_documents(docs, labels, share, cap).groupBy("doc_id").agg(F.max(F.col("epochs") + F.col("chosen").cast("int")).alias("_takes"))
-    joined = docs.join(takes, docs["doc_id"].eqNullSafe(takes["doc_id"])).select(*[docs[c] for c in docs.columns], "_takes")
-    return joined.where("_takes > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_takes")))).select(*docs.columns)
+    takes = mix_documents(docs, labels, share, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("epochs") + F.col("chosen").cast("int")).alias("_takes"))
+    joined = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_takes > 0")
+    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_takes")))).select(*docs.columns)

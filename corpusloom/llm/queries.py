@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import linededup, mixing, separators, sharding, simhash, sketches, sstable, suffixes
+from corpusloom.llm import decontaminate, linededup, mixing, quality, separators, sharding, simhash, sketches, sstable, suffixes
 from corpusloom.llm.base import table
 
 
@@ -25,6 +25,16 @@ def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_words", F.col("end_word") - F.col("start_word"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier selects."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.select_good(docs, table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "tail_probability")
+
+
 def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("int"))
@@ -53,7 +63,7 @@ def op10_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_consistent_hash_shards, op2_suffix_repeats, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables)}
+    found = {f.__name__: f for f in (op1_consistent_hash_shards, op2_suffix_repeats, op3_benchmark_leaks, op4_ordinal_quality, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables)}
     return found
 
 

@@ -37,6 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a batch: bytes `starts[i]:ends[i]` of `data`; document d has words `first[d]:first[d + 1]`."""
 
+    sums: np.ndarray | None = None
+
     def __init__(self, texts: pa.Array, lower: bool = False, separators: np.ndarray = SPACE):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
@@ -54,13 +56,14 @@ class Words:
         self.ends = np.flatnonzero(ink[:-1] & (~ink[1:] | cut))
         self.first = np.searchsorted(self.starts, self.offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
+    def hashes(self, which: np.ndarray | slice = slice(None), ends: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; of the words `which` up to `ends`, if these are given."""
+        n, starts = len(self.data), self.starts[which]
         with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_CODES[self.data] * _power(_BASE, n), out=sums[1:])
-            return mix((sums[self.ends] - sums[self.starts]) * _power(_INVERSE, n + 1)[self.starts])
+            if self.sums is None:
+                self.sums = np.zeros(n + 1, np.uint64)
+                np.cumsum(_CODES[self.data] * _power(_BASE, n), out=self.sums[1:])
+            return mix((self.sums[self.ends[which] if ends is None else ends] - self.sums[starts]) * _power(_INVERSE, n + 1)[starts])
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
