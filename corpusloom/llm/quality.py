@@ -22,7 +22,7 @@ from corpusloom.llm.textkit import Words
 BUCKETS = 1 << 18
 SAMPLE_ROWS = 12_000
 MIN_TEXTS = 4
-CLEAR = 5.0
+CLEAR = 0.4
 SHAPE_SCALE = 12.0
 
 _SIGN = np.zeros(256, bool)
@@ -88,7 +88,7 @@ class OrdinalModel:
 
 def fit(buckets: np.ndarray, values: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, rounds: int = 150, penalty: float = 2e-4, rate: float = 0.08, min_texts: int = MIN_TEXTS, clear: float = CLEAR) -> OrdinalModel:
     """Penalised maximum likelihood by Adam over all rows, with features of min_texts rows or more whose mean in some
-    grade is `clear` standard errors or more from that in the highest; the others have weight zero.
+    grade is `clear * ln(rows)` standard errors or more from that in the highest; the others have weight zero.
 
     Grades that no row has share a threshold; without rows every tail probability is 1."""
     if not len(grades):
@@ -102,7 +102,7 @@ def fit(buckets: np.ndarray, values: np.ndarray, first: np.ndarray, grades: np.n
         square = np.bincount(buckets[own], weights=values[own].astype(np.float64) ** 2, minlength=BUCKETS) / m
         means.append(mean)
         errors.append((np.maximum(square - mean**2, 0) + 0.25 / m) / m)
-    seen &= np.max([np.abs(means[j] - means[-1]) / np.sqrt(errors[j] + errors[-1]) for j in range(levels - 1)], axis=0) >= clear
+    seen &= np.max([np.abs(means[j] - means[-1]) / np.sqrt(errors[j] + errors[-1]) for j in range(levels - 1)], axis=0) >= clear * np.log(len(grades))
     used = seen[buckets]
     names, column = np.unique(buckets[used], return_inverse=True)
     row, value = row[used], values[used].astype(np.float64)
