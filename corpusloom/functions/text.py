@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The classes of characters that results depend on.
@@ -11,6 +13,11 @@ HAN = r"[\u4e00-\u9fff]+"
 LATIN = r"[a-z0-9_]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions.text import strip, terms, text_of
+from corpusloom.functions.text import let, strip, terms, text_of
 
 K1, B = 1.5, 0.75
 HEADING_WEIGHT, BLOCK_LEAST = 2, 4
@@ -46,18 +46,30 @@ def excerpts(content: Column, query: Column, most: int = 3, chars: int = 600) ->
 
     Within one row, without a shuffle: blocks are the corpus of the statistics. Headings count twice; ties go to the
     earlier block; blocks without a term are left out."""
-    wanted = F.array_distinct(terms(query))
-    weigh = lambda b: F.concat(terms(b["text"]), F.when(b["heading"] != "", F.flatten(F.array_repeat(terms(b["heading"]), HEADING_WEIGHT))).otherwise(F.array().cast("array<string>")))
-    counted = F.transform(blocks(content), lambda b: _counted(b, weigh(b), wanted))
-    total = F.size(counted).cast("double")
-    average = F.aggregate(counted, F.lit(0.0), lambda a, b: a + b["length"]) / F.when(total > 0, total)
-    df = F.transform(F.sequence(F.lit(0), F.greatest(F.size(wanted) - 1, F.lit(0))), lambda i: F.size(F.filter(counted, lambda b: F.get(b["tf"], i) > 0)))
-    parts = lambda b: F.zip_with(b["tf"], df, lambda t, d: bm25(t, d, b["length"], total, average))
-    scored = F.transform(counted, lambda b: F.struct((-F.aggregate(parts(b), F.lit(0.0), lambda a, x: a + x)).alias("minus"), b["start"].alias("start"), b["text"].alias("text"), b["heading"].alias("heading")))
-    best = F.filter(F.slice(F.array_sort(scored), 1, max(1, most)), lambda b: b["minus"] < 0)
-    shown = F.transform(best, lambda b: _shown(content, b, chars))
     empty = F.array().cast("array<struct<start:int,end:int,text:string,heading:string,score:double>>")
-    return F.when((F.size(wanted) > 0) & (text_of(content) != ""), F.array_sort(shown)).otherwise(empty)
+
+    def weighed(b: Column) -> Column:
+        heading = F.when(b["heading"] != "", F.flatten(F.array_repeat(terms(b["heading"]), HEADING_WEIGHT)))
+        return F.concat(terms(b["text"]), F.coalesce(heading, F.array().cast("array<string>")))
+
+    def found(wanted: Column) -> Column:
+        counted = F.transform(blocks(content), lambda b: let(weighed(b), lambda tokens: _counted(b, tokens, wanted)))
+        return let(counted, lambda c: F.when((F.size(wanted) > 0) & (F.size(c) > 0), best(wanted, c)).otherwise(empty))
+
+    def best(wanted: Column, counted: Column) -> Column:
+        df = F.transform(F.sequence(F.lit(0), F.size(wanted) - 1), lambda i: F.size(F.filter(counted, lambda b: F.get(b["tf"], i) > 0)))
+        known = F.struct(F.size(counted).cast("double").alias("n"), (F.aggregate(counted, F.lit(0.0), lambda a, b: a + b["length"]) / F.size(counted)).alias("average"), df.alias("df"))
+        return let(known, lambda k: shown(F.transform(counted, lambda b: scored(b, k))))
+
+    def scored(b: Column, known: Column) -> Column:
+        parts = F.zip_with(b["tf"], known["df"], lambda t, d: bm25(t, d, b["length"], known["n"], known["average"]))
+        return F.struct((-F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).alias("minus"), b["start"].alias("start"), b["text"].alias("text"), b["heading"].alias("heading"))
+
+    def shown(rows: Column) -> Column:
+        top = F.filter(F.slice(F.array_sort(rows), 1, max(1, most)), lambda b: b["minus"] < 0)
+        return F.array_sort(F.transform(top, lambda b: _shown(content, b, chars)))
+
+    return let(F.array_distinct(terms(query)), found)
 
 
 def _counted(block: Column, tokens: Column, wanted: Column) -> Column:
@@ -72,6 +84,10 @@ def _shown(content: Column, block: Column, chars: int) -> Column:
     return F.struct(start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), text.alias("text"), block["heading"].alias("heading"), F.round(-block["minus"], 4).alias("score"))
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("_t", lambda t: t == term))
+
+
 def search(docs: DataFrame, query: str, top: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The `top` documents by BM25: (key, score, hits, rank).
 
@@ -80,7 +96,7 @@ def search(docs: DataFrame, query: str, top: int = 10, key: str = "doc_id", text
     wanted = [r["t"] for r in spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(query)))).alias("t")).collect()]
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("hits"), F.lit(0).alias("rank")).limit(0)
-    counted = docs.select(key, terms(F.col(text)).alias("_t")).select(key, F.size("_t").alias("_n"), *[F.size(F.filter("_t", lambda t, w=w: t == w)).alias(f"_{i}") for i, w in enumerate(wanted)])
+    counted = docs.select(key, terms(F.col(text)).alias("_t")).select(key, F.size("_t").alias("_n"), *[_occurrences(w).alias(f"_{i}") for i, w in enumerate(wanted)])
     sums = counted.agg(F.count("*").alias("n"), F.avg("_n").alias("average"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     joined = counted.crossJoin(F.broadcast(sums))  # one row of statistics
     score = sum((bm25(F.col(f"_{i}"), F.col(f"df{i}"), F.col("_n"), F.col("n"), F.col("average")) for i in range(len(wanted))), F.lit(0.0))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corpusloom.functions.text import lines, strip, text_of
+from corpusloom.functions.text import let, lines, strip, text_of
 
 # Phrases of sections and lines of each kind, and limits.
 CATEGORIES = ("nav", "footer", "comments", "related", "ads")
@@ -33,51 +33,69 @@ def section_kind(title: Column) -> Column:
 
 def line_kind(line: Column) -> Column:
     """ads or footer by phrase in short lines, nav by links with little beside them; null for content."""
-    beside, links = strip(F.regexp_replace(line, LINK, "")), F.regexp_count(line, F.lit(LINK))
-    looked = F.when(beside == "", line).otherwise(beside)
-    short = F.length(line) <= SHORT_LINE
-    nav = ((links >= 3) & (F.length(beside) <= 40)) | ((links >= 2) & (F.length(beside) <= 16))
-    return F.when(short & looked.rlike(f"(?i)({ADS})"), "ads").when(short & looked.rlike(f"(?i)({FOOTER})"), "footer").when(nav, "nav")
-
-
-def _step(state: Column, line: Column) -> Column:
-    bare = strip(line)
-    fence, within = bare.startswith("```"), state["fence"]
-    heading = bare.rlike(HEADING) & ~fence & ~within
-    opened = section_kind(F.regexp_extract(bare, HEADING, 1))
-    dropped = (
-        F.when(fence | within | (bare == ""), F.lit(None).cast("string"))
-        .when(heading, opened)
-        .when(state["section"].isNotNull(), state["section"])
-        .otherwise(line_kind(bare))
+    looked = F.struct(strip(F.regexp_replace(line, LINK, "")).alias("beside"), F.regexp_count(line, F.lit(LINK)).alias("links"))
+
+    def decide(x: Column) -> Column:
+        phrase = F.when(x["beside"] == "", line).otherwise(x["beside"])
+        short, left = F.length(line) <= SHORT_LINE, F.length(x["beside"])
+        nav = ((x["links"] >= 3) & (left <= 40)) | ((x["links"] >= 2) & (left <= 16))
+        return F.when(short & phrase.rlike(f"(?i)({ADS})"), "ads").when(short & phrase.rlike(f"(?i)({FOOTER})"), "footer").when(nav, "nav")
+
+    return let(looked, decide)
+
+
+def _looked_at(rows: Column) -> Column:
+    """Each line with what doesn't depend on the lines before it, computed once."""
+    bare = F.transform(rows, lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+    return F.transform(
+        bare,
+        lambda x: F.struct(
+            x["line"].alias("line"),
+            (x["bare"] == "").alias("blank"),
+            x["bare"].startswith("```").alias("fence"),
+            x["bare"].rlike(HEADING).alias("heading"),
+            F.when(x["bare"].rlike(HEADING), section_kind(F.regexp_extract(x["bare"], HEADING, 1))).alias("opened"),
+            F.when(x["bare"] != "", line_kind(x["bare"])).alias("kind"),
+        ),
     )
-    kept = F.when(~fence & ~within & (bare == ""), F.lit("")).otherwise(line)
+
+
+def _step(state: Column, x: Column) -> Column:
+    within = state["fence"]
+    heading = x["heading"] & ~x["fence"] & ~within
+    dropped = F.when(x["fence"] | within | x["blank"], F.lit(None).cast("string")).when(heading, x["opened"]).when(state["section"].isNotNull(), state["section"]).otherwise(x["kind"])
     return F.struct(
-        F.when(fence, ~within).otherwise(within).alias("fence"),
-        F.when(heading, opened).otherwise(state["section"]).alias("section"),
-        F.array_append(state["rows"], F.struct(kept.alias("line"), dropped.alias("kind"))).alias("rows"),
+        F.when(x["fence"], ~within).otherwise(within).alias("fence"),
+        F.when(heading, x["opened"]).otherwise(state["section"]).alias("section"),
+        F.array_append(state["kinds"], F.struct(dropped.alias("kind"), (x["blank"] & ~within).alias("empty"))).alias("kinds"),
     )
 
 
+def _count(rows: Column, kind: str) -> Column:
+    return F.size(F.filter(rows, lambda r: r["kind"] == kind))
+
+
 def fit_markdown(content: Column) -> Column:
     """struct(content, dropped struct by category, applied).
 
     Lines in code fences stay. A heading of a section of low value drops what follows up to the next heading. If that
     leaves nothing, or under 30 % of 400 characters or more, the content stays as it was. A null content is empty."""
-    text = text_of(content)
-    start = F.struct(F.lit(False).alias("fence"), F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<line:string,kind:string>>").alias("rows"))
+    start = F.struct(F.lit(False).alias("fence"), F.lit(None).cast("string").alias("section"), F.array().cast("array<struct<kind:string,empty:boolean>>").alias("kinds"))
 
-    def finish(state: Column) -> Column:
-        rows = state["rows"]
+    def decided(text: Column) -> Column:
+        return let(_looked_at(lines(text)), lambda rows: F.zip_with(rows, F.aggregate(rows, start, _step, lambda s: s["kinds"]), lambda r, k: F.struct(F.when(k["empty"], "").otherwise(r["line"]).alias("line"), k["kind"].alias("kind"))))
+
+    def result(text: Column, rows: Column) -> Column:
         fitted = strip(F.array_join(F.transform(F.filter(rows, lambda r: r["kind"].isNull()), lambda r: r["line"]), "\n"))
-        counts = [F.size(F.filter(rows, lambda r, k=k: r["kind"] == k)).alias(k) for k in CATEGORIES]
-        return F.struct(fitted.alias("content"), F.struct(*counts).alias("dropped"))
-
-    fitted = F.aggregate(lines(text), start, _step, finish)
-    kept = (fitted["content"] != "") & ~((F.length(text) >= GUARD_CHARS) & (F.length(fitted["content"]) < F.length(text) * LEAST_KEPT))
-    applied = (strip(text) != "") & kept
-    none = F.struct(*[F.lit(0).alias(k) for k in CATEGORIES])
-    return F.struct(F.when(applied, fitted["content"]).otherwise(text).alias("content"), F.when(applied, fitted["dropped"]).otherwise(none).alias("dropped"), applied.alias("applied"))
+        return let(F.struct(fitted.alias("content"), F.struct(*[_count(rows, k).alias(k) for k in CATEGORIES]).alias("dropped")), lambda x: chosen(text, x))
+
+    def chosen(text: Column, fitted: Column) -> Column:
+        kept = (fitted["content"] != "") & ~((F.length(text) >= GUARD_CHARS) & (F.length(fitted["content"]) < F.length(text) * LEAST_KEPT))
+        applied = (strip(text) != "") & kept
+        none = F.struct(*[F.lit(0).alias(k) for k in CATEGORIES])
+        return let(applied, lambda a: F.struct(F.when(a, fitted["content"]).otherwise(text).alias("content"), F.when(a, fitted["dropped"]).otherwise(none).alias("dropped"), a.alias("applied")))
+
+    return let(text_of(content), lambda text: let(decided(text), lambda rows: result(text, rows)))
 
 
 def compression(raw_chars: Column, content: Column, tokens: Column) -> Column:
