@@ -1,0 +1,215 @@
+"""A forgiving tree of a page, and the selectors that are used on it. A helper of pages.py; it knows nothing of Spark."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from html.parser import HTMLParser
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: An element that opens ends these, if they are open and nothing of the scope is in between.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "thead": ({"tbody"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
+}
+P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+
+
+class Node:
+    __slots__ = ("tag", "attributes", "children", "parent")
+
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None, parent: "Node | None" = None):
+        self.tag, self.attributes, self.children, self.parent = tag, attributes or {}, [], parent
+
+    def walk(self) -> Iterator["Node"]:
+        """Elements below, in the page's order."""
+        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def texts(self) -> Iterator[str]:
+        stack: list = list(reversed(self.children))
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                yield x
+            else:
+                stack += reversed(x.children)
+
+    def text(self, separator: str = "") -> str:
+        return separator.join(self.texts())
+
+    def remove(self) -> None:
+        if self.parent:
+            self.parent.children = [c for c in self.parent.children if c is not self]
+
+    def depth(self) -> int:
+        n, node = 0, self
+        while node.parent:
+            n, node = n + 1, node.parent
+        return n
+
+    def html(self) -> str:
+        names = "".join(f' {k}="{v}"' for k, v in self.attributes.items())
+        inner = "".join(c if isinstance(c, str) else c.html() for c in self.children)
+        return f"<{self.tag}{names}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
+
+    def all(self, selector: str) -> list["Node"]:
+        """Elements below that a selector list matches, in the page's order; ValueError for one that isn't understood."""
+        chains = compiled(selector)
+        return [n for n in self.walk() if any(_ends_chain(n, c) for c in chains)]
+
+    def first(self, selector: str) -> "Node | None":
+        chains = compiled(selector)
+        return next((n for n in self.walk() if any(_ends_chain(n, c) for c in chains)), None)
+
+
+class _Builder(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = Node("html")
+        self.body: Node | None = None
+        self.open = [self.root]
+
+    def _close(self, tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in tags:
+                del self.open[i:]
+                return
+            if self.open[i].tag in scope:
+                return
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        values = {}
+        for k, v in attrs:
+            values.setdefault(k, v if v is not None else "")
+        if tag == "html":
+            self.root.attributes |= {k: v for k, v in values.items() if k not in self.root.attributes}
+            return
+        if tag == "body" and self.body is not None:
+            return
+        if tag in P_ENDS:
+            self._close({"p"}, {"td", "th", "table", "button"})
+        if tag in ENDS:
+            wanted, scope = ENDS[tag]
+            while any(n.tag in wanted for n in self.open[self._scope(scope) :]):
+                self._close(wanted, scope)
+        node = Node(tag, values, self.open[-1])
+        self.open[-1].children.append(node)
+        if tag == "body":
+            self.body = node
+        if tag not in VOID:
+            self.open.append(node)
+
+    def _scope(self, scope: set[str]) -> int:
+        return max((i + 1 for i, n in enumerate(self.open) if n.tag in scope), default=1)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data: str) -> None:
+        self.open[-1].children.append(data)
+
+
+def parse(html: str) -> tuple[Node, Node]:
+    """(root, body): the body is the root where a page has none."""
+    builder = _Builder()
+    builder.feed(html)
+    builder.close()
+    return builder.root, builder.body or builder.root
+
+
+# --- selectors: tag, #id, .class, [attr], [attr=v], *=, ^=, $=, ~=, :nth-child(n), :first-child; descent and >
+
+_SIMPLE = re.compile(r"""\s*(?:(?P<tag>[\w-]+|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~|]?=)\s*(?P<q>["']?)(?P<val>.*?)(?P=q)\s*)?\]|:(?P<pseudo>nth-child\(\s*\d+\s*\)|first-child|last-child))""")
+
+
+@lru_cache(maxsize=4096)
+def compiled(selector: str) -> tuple:
+    """For each alternative its compound selectors, the last first, each with how it is tied to the one before it."""
+    out = []
+    for part in _split(selector):
+        chain: list[tuple[list, str]] = []
+        for combinator, compound in re.findall(r"(\s*>\s*|\s+|^)((?:\[[^\]]*\]|[^\s>\[])+)", part.strip()):
+            chain.append((_compound(compound), ">" if ">" in combinator else " "))
+        if not chain:
+            raise ValueError(f"selector not understood: {selector!r}")
+        out.append(tuple(reversed(chain)))
+    return tuple(out)
+
+
+def _split(selector: str) -> list[str]:
+    parts, depth, now = [], 0, ""
+    for c in selector:
+        depth += (c in "[(") - (c in "])")
+        if c == "," and not depth:
+            parts.append(now)
+            now = ""
+        else:
+            now += c
+    return [*parts, now]
+
+
+def _compound(text: str) -> list:
+    tests, at = [], 0
+    while at < len(text):
+        m = _SIMPLE.match(text, at)
+        if not m:
+            raise ValueError(f"selector not understood: {text!r}")
+        if m["tag"] and m["tag"] != "*":
+            tests.append(("tag", m["tag"].lower()))
+        elif m["id"]:
+            tests.append(("attr", "id", "=", m["id"]))
+        elif m["cls"]:
+            tests.append(("attr", "class", "~=", m["cls"]))
+        elif m["attr"]:
+            tests.append(("attr", m["attr"].lower(), m["op"] or "", m["val"] or ""))
+        elif m["pseudo"]:
+            tests.append(("pseudo", m["pseudo"]))
+        at = m.end()
+    return tests
+
+
+def _passes(node: Node, tests: list) -> bool:
+    for test in tests:
+        if test[0] == "tag":
+            if node.tag != test[1]:
+                return False
+        elif test[0] == "pseudo":
+            elements = [c for c in node.parent.children if isinstance(c, Node)] if node.parent else [node]
+            want = {"first-child": 0, "last-child": len(elements) - 1}.get(test[1])
+            want = int(re.search(r"\d+", test[1])[0]) - 1 if want is None else want
+            if not (0 <= want < len(elements) and elements[want] is node):
+                return False
+        else:
+            _, name, op, value = test
+            have = node.attributes.get(name)
+            if have is None or not (op == "" or op == "=" and have == value or value and (op == "*=" and value in have or op == "^=" and have.startswith(value) or op == "$=" and have.endswith(value) or op == "~=" and value in have.split() or op == "|=" and (have == value or have.startswith(value + "-")))):
+                return False
+    return True
+
+
+def _ends_chain(node: Node, chain: tuple) -> bool:
+    (tests, tie), rest = chain[0], chain[1:]
+    if not _passes(node, tests):
+        return False
+    if not rest:
+        return True
+    up = node.parent
+    while up is not None:
+        if _ends_chain(up, rest):
+            return True
+        if tie == ">":
+            return False
+        up = up.parent
+    return False
