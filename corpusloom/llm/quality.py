@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.base import prepare
+from corpusloom.llm.base import durable, prepare
 from corpusloom.llm.textkit import Words
 
 BUCKETS = 1 << 18
@@ -86,26 +86,15 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(buckets: np.ndarray, values: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, rounds: int = 150, penalty: float = 2e-4, rate: float = 0.08, min_texts: int = MIN_TEXTS, clear: float = CLEAR) -> OrdinalModel:
-    """Penalised maximum likelihood by Adam over all rows, with features of min_texts rows or more whose mean in some
-    grade is `clear * ln(rows)` standard errors or more from that in the highest; the others have weight zero.
+def fit(buckets: np.ndarray, values: np.ndarray, first: np.ndarray, grades: np.ndarray, levels: int, rounds: int = 150, penalty: float = 2e-4, rate: float = 0.08) -> OrdinalModel:
+    """Penalised maximum likelihood by Adam over all rows; features that no row has keep weight zero.
 
     Grades that no row has share a threshold; without rows every tail probability is 1."""
     if not len(grades):
         return OrdinalModel(np.zeros(BUCKETS, np.float32), np.full(levels - 1, -60.0))
-    seen = np.bincount(buckets, minlength=BUCKETS) >= min_texts
     row = np.repeat(np.arange(len(grades)), np.diff(first))
-    means, errors = [], []
-    for j in range(levels):
-        own, m = grades[row] == j, max(int((grades == j).sum()), 1)
-        mean = np.bincount(buckets[own], weights=values[own], minlength=BUCKETS) / m
-        square = np.bincount(buckets[own], weights=values[own].astype(np.float64) ** 2, minlength=BUCKETS) / m
-        means.append(mean)
-        errors.append((np.maximum(square - mean**2, 0) + 0.25 / m) / m)
-    seen &= np.max([np.abs(means[j] - means[-1]) / np.sqrt(errors[j] + errors[-1]) for j in range(levels - 1)], axis=0) >= clear * np.log(len(grades))
-    used = seen[buckets]
-    names, column = np.unique(buckets[used], return_inverse=True)
-    row, value = row[used], values[used].astype(np.float64)
+    names, column = np.unique(buckets, return_inverse=True)
+    value = values.astype(np.float64)
     n, k = len(grades), levels - 1
     share = np.clip(np.array([(grades <= j).mean() for j in range(k)]), 1e-6, 1 - 1e-6)
     base = np.log(share / (1 - share))
@@ -140,12 +129,40 @@ def grade_of(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(toxic) == 1, 0).when(F.col(quality) == 0, 1).when(F.col(quality) == 1, 2)
 
 
+def clear_features(sampled: DataFrame, levels: int, min_texts: int = MIN_TEXTS, clear: float = CLEAR) -> DataFrame:
+    """(bucket) of features that min_texts rows have and whose mean in some grade is `clear * ln(rows)` standard errors
+    or more from that in the highest grade. Each task sends sums of its rows by bucket, not its features."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, levels, BUCKETS))
+        for batch in batches:
+            lists = batch.column(2)
+            buckets, values = np.asarray(lists.flatten()), np.asarray(batch.column(3).flatten()).astype(np.float64)
+            grade = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
+            for i, x in enumerate((np.ones(len(values)), values, values**2)):
+                total[i] += np.bincount(grade * BUCKETS + buckets, weights=x, minlength=levels * BUCKETS).reshape(levels, BUCKETS)
+        at = np.flatnonzero(total[0].sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[i, j, at]) for i in range(3) for j in range(levels)]], names=names)
+
+    names = ["bucket", *[f"{x}{j}" for x in ("n", "s", "q") for j in range(levels)]]
+    rows = {r["grade"]: r["n"] for r in sampled.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    by = sampled.mapInArrow(sums, "bucket long, " + ", ".join(f"{n} double" for n in names[1:])).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    mean = lambda j: F.col(f"s{j}") / max(rows.get(j, 0), 1)
+    error = lambda j: (F.greatest(F.col(f"q{j}") / max(rows.get(j, 0), 1) - mean(j) * mean(j), F.lit(0.0)) + 0.25 / max(rows.get(j, 0), 1)) / max(rows.get(j, 0), 1)
+    top = levels - 1
+    apart = [F.abs(mean(j) - mean(top)) / F.sqrt(error(j) + error(top)) for j in range(top)]
+    least = clear * float(np.log(max(sum(rows.values()), 1)))
+    seen = sum((F.col(f"n{j}") for j in range(levels)), F.lit(0.0))
+    return by.where((seen >= min_texts) & (F.greatest(*apart, F.lit(0.0)) >= least)).select("bucket")
+
+
 def train(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, levels: int = 3, text: str = "text") -> OrdinalModel:
     """Fit on at most sample_rows documents of rated (doc_id, grade), those with the least hash of their id.
 
-    The bound holds what reaches the driver: sparse features of that many texts. Null grades and ids are left out; of
+    The bound holds what reaches the driver: the screened features of that many texts. Null grades and ids are left out; of
     repeated ratings the least counts."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     ids = rated.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", F.col(text).alias("_t")).join(F.broadcast(sample), "doc_id").select(F.col("grade").cast("int"), "_t", F.xxhash64("doc_id", "_t").alias("k"))
@@ -157,7 +174,20 @@ def train(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, lev
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, pa.array(buckets)), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["grade", "k", "b", "v"])
 
     # rows that repeat a doc_id may be many: the bound is on rows too
-    found = texts.orderBy("k").limit(sample_rows).mapInArrow(run, "grade int, k long, b array<int>, v array<float>").toArrow().combine_chunks().sort_by("k")
+    sampled = durable(texts.orderBy("k").limit(sample_rows).repartition(8).mapInArrow(run, "grade int, k long, b array<int>, v array<float>"))
+    kept = np.sort(np.array([r["bucket"] for r in clear_features(sampled, levels).collect()], np.int32))  # at most BUCKETS
+    names = spark.sparkContext.broadcast(kept)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            buckets, values = (np.asarray(x.flatten()) for x in (lists, batch.column(3)))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            hit = np.isin(buckets, names.value)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=batch.num_rows))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(buckets[hit])), pa.ListArray.from_arrays(offsets, pa.array(values[hit]))], names=["grade", "k", "b", "v"])
+
+    found = sampled.mapInArrow(only, "grade int, k long, b array<int>, v array<float>").toArrow().combine_chunks().sort_by("k")
     lists = [found.column(n).combine_chunks() for n in ("b", "v")]
     buckets, values = (np.asarray(x.flatten()) for x in lists)
     size = np.diff(np.asarray(lists[0].offsets)) if len(found) else np.zeros(0, np.int64)
