@@ -18,6 +18,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def unpacked(value: Column) -> Column:
+    """The fields of a struct as columns, the struct computed once; as fields of a column, it might be once for each."""
+    return F.inline(F.array(value))
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions.text import let, strip, terms, text_of
+from corpusloom.functions.text import let, strip, terms, text_of, unpacked
 
 K1, B = 1.5, 0.75
 HEADING_WEIGHT, BLOCK_LEAST = 2, 4
@@ -13,27 +13,32 @@ HEADING = r"^#{1,6}\s+(.*)$"
 
 def blocks(content: Column) -> Column:
     """array of struct(text, heading, start, end): stretches between headings and blank lines, of 4 characters or more."""
-    rows = F.split(text_of(content), "\n")
-    empty = "struct<text:string,heading:string,start:int,end:int>"
-    start = F.struct(F.lit("").alias("heading"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("begin"), F.array().cast(f"array<{empty}>").alias("out"))
+    bare = F.transform(F.split(text_of(content), "\n"), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+    rows = F.transform(
+        bare,
+        lambda x: F.struct(x["line"].alias("line"), F.length(x["line"]).alias("n"), ((x["bare"] == "") | x["bare"].rlike(HEADING)).alias("stop"), F.when(x["bare"].rlike(HEADING), strip(F.regexp_extract(x["bare"], HEADING, 1))).alias("title")),
+    )
+    kind = "struct<text:string,heading:string,start:int,end:int>"
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit("").alias("heading"), F.lit(0).alias("at"), none.alias("held"), F.lit(0).alias("begin"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def flushed(s: Column) -> Column:
-        text = strip(F.array_join(s["held"], "\n"))
-        block = F.struct(text.alias("text"), s["heading"].alias("heading"), s["begin"].alias("start"), s["at"].alias("end")).cast(empty)
-        return F.when(F.length(text) >= BLOCK_LEAST, F.array_append(s["out"], block)).otherwise(s["out"])
+        def add(text: Column) -> Column:
+            block = F.struct(text.alias("text"), s["heading"].alias("heading"), s["begin"].alias("start"), s["at"].alias("end")).cast(kind)
+            return F.when(F.length(text) >= BLOCK_LEAST, F.array_append(s["out"], block)).otherwise(s["out"])
 
-    def step(s: Column, line: Column) -> Column:
-        bare = strip(line)
-        heading, stop = bare.rlike(HEADING), bare.rlike(HEADING) | (bare == "")
+        return F.when(F.size(s["held"]) > 0, let(strip(F.array_join(s["held"], "\n")), add)).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
         return F.struct(
-            F.when(heading, strip(F.regexp_extract(bare, HEADING, 1))).otherwise(s["heading"]).alias("heading"),
-            (s["at"] + F.length(line) + 1).alias("at"),
-            F.when(stop, F.array().cast("array<string>")).otherwise(F.array_append(s["held"], line)).alias("held"),
-            F.when((F.size(s["held"]) == 0) & ~stop, s["at"]).otherwise(s["begin"]).alias("begin"),
-            F.when(stop, flushed(s)).otherwise(s["out"]).alias("out"),
+            F.coalesce(x["title"], s["heading"]).alias("heading"),
+            (s["at"] + x["n"] + 1).alias("at"),
+            F.when(x["stop"], none).otherwise(F.array_append(s["held"], x["line"])).alias("held"),
+            F.when((F.size(s["held"]) == 0) & ~x["stop"], s["at"]).otherwise(s["begin"]).alias("begin"),
+            F.when(x["stop"], flushed(s)).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(rows, start, step, lambda s: flushed(s.withField("at", F.length(text_of(content)))))
+    return F.aggregate(rows, start, step, lambda s: let(s.withField("at", F.length(text_of(content))), flushed))
 
 
 def bm25(tf: Column, df: Column, length: Column, total: Column, average: Column) -> Column:
@@ -84,8 +89,8 @@ def _shown(content: Column, block: Column, chars: int) -> Column:
     return F.struct(start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), text.alias("text"), block["heading"].alias("heading"), F.round(-block["minus"], 4).alias("score"))
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("_t", lambda t: t == term))
+def _occurrences(tokens: Column, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == term))
 
 
 def search(docs: DataFrame, query: str, top: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,7 +101,8 @@ def search(docs: DataFrame, query: str, top: int = 10, key: str = "doc_id", text
     wanted = [r["t"] for r in spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(query)))).alias("t")).collect()]
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("hits"), F.lit(0).alias("rank")).limit(0)
-    counted = docs.select(key, terms(F.col(text)).alias("_t")).select(key, F.size("_t").alias("_n"), *[_occurrences(w).alias(f"_{i}") for i, w in enumerate(wanted)])
+    tally = let(terms(F.col(text)), lambda t: F.struct(F.size(t).alias("_n"), *[_occurrences(t, w).alias(f"_{i}") for i, w in enumerate(wanted)]))
+    counted = docs.select(key, unpacked(tally))
     sums = counted.agg(F.count("*").alias("n"), F.avg("_n").alias("average"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     joined = counted.crossJoin(F.broadcast(sums))  # one row of statistics
     score = sum((bm25(F.col(f"_{i}"), F.col(f"df{i}"), F.col("_n"), F.col("n"), F.col("average")) for i in range(len(wanted))), F.lit(0.0))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusloom.functions import text, web
 from corpusloom.html.pages import Request, link_table, parse_pages
 from corpusloom.operators import chunks, excerpts, graph, schedule, snapshots, vectors
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,32 +30,32 @@ def query(f):
 @query
 def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compact text of every page, with its size against the page's."""
-    found = parse_pages(table(spark, sf_dir, "pages"), Request("compact", max_tokens=4000), "url", "html", "page_id")
+    found = parse_pages(spread(table(spark, sf_dir, "pages")), Request("compact", max_tokens=4000), "url", "html", "page_id")
     return found.select("page_id", "compact.*", "error")
 
 
 @query
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_table(table(spark, sf_dir, "pages"))
+    return link_table(spread(table(spark, sf_dir, "pages")))
 
 
 @query
 def page_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parse_pages(table(spark, sf_dir, "pages"), Request("interactions"), "url", "html", "page_id")
+    found = parse_pages(spread(table(spark, sf_dir, "pages")), Request("interactions"), "url", "html", "page_id")
     return found.select("page_id", F.size("interactions.elements").alias("n_elements"), F.size("interactions.forms").alias("n_forms"), F.size("interactions.next").alias("n_next"), "error")
 
 
 @query
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared fields, where they stand, and what comes near those that are missing."""
-    found = parse_pages(table(spark, sf_dir, "pages"), Request("fields", "grounding", "candidates", schema=SCHEMA), "url", "html", "page_id")
+    found = parse_pages(spread(table(spark, sf_dir, "pages")), Request("fields", "grounding", "candidates", schema=SCHEMA), "url", "html", "page_id")
     return found.select("page_id", "fields.data.title", "fields.data.first", F.size("fields.data.links").alias("n_links"), F.size("fields.required_missing").alias("n_missing"), F.size("grounding").alias("n_grounded"), "error")
 
 
 @query
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = {"anchors": {"selector": "a[href]", "type": "count"}, "paragraphs": {"selector": "p", "type": "count"}}
-    found = parse_pages(table(spark, sf_dir, "pages"), Request("fields", schema=schema), "url", "html", "page_id")
+    found = parse_pages(spread(table(spark, sf_dir, "pages")), Request("fields", schema=schema), "url", "html", "page_id")
     return found.select("page_id", "fields.data.anchors", "fields.data.paragraphs")
 
 
@@ -64,7 +64,7 @@ SQL["page_counts"] = r"SELECT page_id, len(regexp_extract_all(html, '<a\s[^>]*hr
 
 @query
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk_documents(table(spark, sf_dir, "documents"), "text", chunks.SIZE, chunks.OVERLAP, "doc_id")
+    return chunks.chunk_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", chunks.SIZE, chunks.OVERLAP, "doc_id")
 
 
 @query
@@ -81,13 +81,13 @@ SQL["chunk_coverage"] = r"SELECT doc_id, true AS in_place, true AS within FROM d
 @query
 def document_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three blocks of each document that answer a query best."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.inline(excerpts.excerpts(F.col("text"), F.lit("the license ouble"))))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.inline(excerpts.excerpts(F.col("text"), F.lit("the license ouble"))))
     return docs.select("doc_id", "start", "end", "score")
 
 
 @query
 def truncated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = chunks.truncate_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 500)
+    docs = chunks.truncate_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", 500)
     return docs.select("doc_id", "truncated", "tokens", F.md5("content").alias("digest"))
 
 
@@ -142,7 +142,7 @@ r AS (SELECT id, enabled, CASE WHEN enabled AND n <= 1000000 THEN 1000000 + s EL
 @query
 def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed vectors of documents, as their size and their number of buckets in use."""
-    docs = vectors.hash_embedding(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = vectors.hash_embedding(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     return docs.select("doc_id", F.round(vectors.dot(F.col("vector"), F.col("vector")), 3).alias("size"), F.size(F.filter("vector", lambda x: x != 0)).alias("n_used"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import health, text, web
 from corpusloom.operators import excerpts, fit, inventory, policy, reading, snapshots, stats, vectors
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,8 +114,8 @@ SELECT doc_id, applied, md5(CASE WHEN applied THEN fitted ELSE t END) AS digest,
 def fit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of low value dropped from documents with sections, fences and footers put behind them."""
     content = F.expr(FIT_INPUT.replace("chr(10)", "'\\n'"))
-    fitted = table(spark, sf_dir, "documents").select("doc_id", fit.fit_markdown(content).alias("f"))
-    return fitted.select("doc_id", F.col("f.applied").alias("applied"), F.md5("f.content").alias("digest"), "f.dropped.*")
+    digest = text.let(fit.fit_markdown(content), lambda f: F.struct(f["applied"].alias("applied"), F.md5(f["content"]).alias("digest"), *[f["dropped"][k].alias(k) for k in fit.CATEGORIES]))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", text.unpacked(digest))
 
 
 @query(r"""
@@ -175,7 +175,7 @@ SELECT doc_id, score, hits, row_number() OVER (ORDER BY score DESC, doc_id)::INT
 @query(BM25)
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 documents that answer a query best."""
-    return excerpts.search(table(spark, sf_dir, "documents"), "the License ouble", 25)
+    return excerpts.search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "the License ouble", 25)
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

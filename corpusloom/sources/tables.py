@@ -8,3 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The stored table; only the columns a query uses are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A scan that has fewer tasks than the cluster has cores, dealt out to all; larger ones stay as they are.
+
+    For queries that compute much per row: a small file is one row group, which one task reads."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
