@@ -189,9 +189,11 @@ def train(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, lev
 
     found = sampled.mapInArrow(only, "grade int, k long, b array<int>, v array<float>").toArrow().combine_chunks().sort_by("k")
     lists = [found.column(n).combine_chunks() for n in ("b", "v")]
-    buckets, values = (np.asarray(x.flatten()) for x in lists)
-    size = np.diff(np.asarray(lists[0].offsets)) if len(found) else np.zeros(0, np.int64)
-    return fit(buckets.astype(np.int32), values, np.concatenate([[0], np.cumsum(size)]), found.column("grade").to_numpy(), levels)
+    buckets, values = (np.array(x.flatten()) for x in lists)
+    size = np.diff(np.array(lists[0].offsets)) if len(found) else np.zeros(0, np.int64)
+    grades = np.array(found.column("grade"))
+    del found, lists  # the driver holds each figure once
+    return fit(buckets, values, np.concatenate([[0], np.cumsum(size)]), grades, levels)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:

@@ -225,9 +225,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 4, width:
     marked = durable(fingerprints(docs, text, width))
     points = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(points, radius, cell_rows)).select(F.col("node").alias("fp"), "root")
-    classed = points.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(named, "root").select("fp", "component_id")
+    # written, so that both sides of the joins are plain exchanges and a large component or group of copies can be split
+    classed = durable(points.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    named = durable(classed.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = durable(classed.join(named, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

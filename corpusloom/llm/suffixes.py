@@ -266,7 +266,8 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     partial = grouped.mapInArrow(_union, "doc_id long, start_word int, end_word int, other_id long")
     # whole copies: two hashes of the text, its least and its next doc_id
     sized = given.select("doc_id", "h", F.xxhash64("_t", F.lit(1)).alias("h2"), n_words(F.col("_t")).cast("int").alias("n")).where(F.col("n") >= PASSAGE)
-    least = sized.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    least = durable(sized.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
+    # written first, so that both sides of the join are plain exchanges and a large group of copies can be split
     copies = sized.join(least, ["h", "h2", "n"])
     other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), other.alias("other_id")).distinct()
