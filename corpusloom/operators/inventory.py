@@ -43,7 +43,7 @@ def expand_sitemaps(start: DataFrame, files: DataFrame, most: int = SITEMAPS, de
     """(url, lastmod) of all sitemaps reachable from start (url) in files (url, xml), level by level, none read twice.
 
     At most `depth` levels of indexes and `most` files, the first in order; three joins, whatever the size of files."""
-    parsed = sitemap_entries(files, "xml", *["url"]) if "loc" in files.columns else sitemap_entries(files.withColumnRenamed("url", "file"), "xml", "file")
+    parsed = sitemap_entries(files.select(F.col("url").alias("file"), "xml"), "xml", "file")
     frontier, seen, out, room = start.select(F.col("url").alias("file")).distinct(), None, None, most
     for _ in range(depth + 1):
         frontier = frontier.orderBy("file").limit(room)
@@ -85,9 +85,9 @@ def index_site(previous: DataFrame, entries: DataFrame, include: str | None = No
     rows = rows.where(F.col("url").rlike(include)) if include else rows
     rows = rows.where(~F.col("url").rlike(exclude)) if exclude else rows
     rows = best_entries(rows)
-    reported = rows.orderBy("url").limit(limit)
-    states = diff(previous, rows)
-    return states.join(reported.select("url", "lastmod"), "url", "left").where((F.col("state") == "removed") | F.col("lastmod").isNotNull())
+    reported = rows.orderBy("url").limit(limit).select("url", "lastmod", F.lit(True).alias("_shown"))
+    states = diff(previous, rows).join(reported, "url", "left")
+    return states.where((F.col("state") == "removed") | F.col("_shown")).select("url", "lastmod", "state")
 
 
 def site_map(*sources: DataFrame, limit: int = MAP_LIMIT) -> DataFrame:

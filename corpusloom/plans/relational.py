@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import health, text, web
-from corpusloom.operators import excerpts, fit, inventory, policy, reading, snapshots, stats, vectors
+from corpusloom.operators import excerpts, fit, inventory, policy, reading, snapshots, stats, usage, vectors
+from corpusloom.sources import searches
 from corpusloom.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,3 +367,58 @@ def query_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, role, md5(CASE WHEN regexp_matches(text, '[,"\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END) AS cell, try_cast(replace(nullif(regexp_extract(text, '-?\d[\d,]*(?:\.\d+)?'), ''), ',', '') AS DOUBLE) AS number FROM c""")
 def cells_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5(text.csv_cell(F.col("text"))).alias("cell"), text.number(F.col("text")).alias("number"))
+
+
+@query("""WITH l AS (SELECT event_id % 4 = 0 AS hit, event_id % 3 = 0 AS cached, floor(value)::BIGINT AS tokens, length(props) AS bytes FROM events)
+SELECT count(*) AS requests, count(*) FILTER (WHERE NOT hit) AS fetches, count(*) FILTER (WHERE hit) AS result_cache_hits, count(*) FILTER (WHERE NOT hit AND cached) AS http_cache_hits, round(count(*) FILTER (WHERE hit) / count(*), 3) AS cache_hit_rate,
+  sum(greatest(tokens, 0))::BIGINT AS tokens_returned, (sum(bytes) FILTER (WHERE NOT hit))::BIGINT AS bytes_in FROM l""")
+def fetch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select((F.col("event_id") % 4 == 0).alias("result_hit"), (F.col("event_id") % 3 == 0).alias("cached"), F.floor("value").cast("long").alias("tokens"), F.length("props").alias("bytes"))
+    return usage.fetch_counters(log)
+
+
+@query("""SELECT 'lang' AS dimension, coalesce(nullif(lang, ''), 'unknown') AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', coalesce(nullif(source, ''), 'unknown'), count(*) FROM documents GROUP BY ALL""")
+def counts_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.counts_by(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("""WITH l AS (SELECT 'u' || user_id % 9 AS tenant, event_type AS tool, CASE WHEN event_id % 10 = 0 THEN 'rate' WHEN event_id % 15 = 1 THEN 'daily_quota' END AS reason FROM events),
+t AS (SELECT tenant, string_agg('"' || tool || '":' || n, ',' ORDER BY tool) AS s FROM (SELECT tenant, tool, count(*) AS n FROM l WHERE reason IS NULL GROUP BY ALL) GROUP BY tenant),
+r AS (SELECT tenant, string_agg('"' || reason || '":' || n, ',' ORDER BY reason) AS s FROM (SELECT tenant, reason, count(*) AS n FROM l WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY tenant)
+SELECT l.tenant, count(*) AS requests, '{' || coalesce(any_value(t.s), '') || '}' AS tool_calls, '{' || coalesce(any_value(r.s), '') || '}' AS rejections FROM l LEFT JOIN t ON t.tenant = l.tenant LEFT JOIN r ON r.tenant = l.tenant GROUP BY l.tenant""")
+def tenant_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    log = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 9).cast("string")).alias("tenant"), F.col("event_type").alias("tool"), F.when(n % 10 == 0, "rate").when(n % 15 == 1, "daily_quota").alias("reason"))
+    return usage.tenant_usage(log).select("tenant", "requests", F.to_json("tool_calls").alias("tool_calls"), F.to_json("rejections").alias("rejections"))
+
+
+@query("""WITH h AS (SELECT doc_id, 1 AS rank, 'A b' AS title, 'https://a.org/' || doc_id % 7 AS url, 'c' AS snippet FROM documents
+UNION ALL SELECT doc_id, 2, 'https://a.org/' || doc_id % 3, 'https://a.org/' || doc_id % 3, '' FROM documents WHERE doc_id % 7 <> doc_id % 3) SELECT * FROM h""")
+def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of JSON answers with a repeat, an address of another kind and an entry that is no object."""
+    url = lambda n: F.concat(F.lit('"url":"https://a.org/'), (F.col("doc_id") % n).cast("string"), F.lit('"'))
+    body = F.concat(F.lit('<pre>{"results":[{"title":" A  b ","content":"c",'), url(7), F.lit('},{"url":"ftp://x"},5,{'), url(3), F.lit("}]}</pre>"))
+    return searches.json_hits(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), "searxng", "body", 10, "doc_id").select("doc_id", "rank", "title", "url", "snippet")
+
+
+@query("""SELECT user_id AS key, max(epoch_us(ts)) / 1e6 AS ts, 1706572800 - max(epoch_us(ts)) / 1e6 > 86400 AS stale FROM events GROUP BY user_id""")
+def fresh_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest stored row of each key, and whether a day has passed since."""
+    return usage.fresh(_snapshots(spark, sf_dir).select("key", "ts"), F.lit(1706572800.0), 86400)
+
+
+@query("""SELECT doc_id, len(list_filter(['The', 'LICENSE', 'zzzz'], lambda c: NOT contains(lower(coalesce(text, '')), lower(c))))::INT AS n_missing FROM documents""")
+def missing_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = F.array(F.lit("The"), F.lit("LICENSE"), F.lit("zzzz"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(usage.missing_checks(F.col("text"), checks)).alias("n_missing"))
+
+
+@query(r"""WITH s AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN '' ELSE '2024-01-0' || (1 + page_id % 5) END AS lastmod FROM pages WHERE page_id % 11 <> 0)
+SELECT url, max(lastmod) AS lastmod FROM s GROUP BY url""")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses read from sitemaps of one address each, the one with the latest lastmod of those that repeat."""
+    pages = table(spark, sf_dir, "pages").where("page_id % 11 <> 0")
+    stamp = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("<lastmod> 2024-01-0"), (F.col("page_id") % 5 + 1).cast("string"), F.lit(" </lastmod>")))
+    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="x"><!-- <url><loc>no</loc></url> --><url><loc>'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), stamp, F.lit("</url></urlset>"))
+    entries = inventory.sitemap_entries(pages.select("page_id", xml.alias("xml")), "xml", "page_id")
+    return entries.groupBy("url").agg(F.max("lastmod").alias("lastmod"))
