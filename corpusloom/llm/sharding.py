@@ -31,9 +31,15 @@ def ring(n_shards: int, replicas: int) -> list[tuple[int, int]]:
     return sorted(nodes.items())
 
 
-def _arc(key: str, nodes: list[tuple[int, int]]) -> Column:
-    """The first node at or after a key's ring position, after the last node the first again."""
-    cell = F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
+def _position(docs: DataFrame, key: str) -> Column:
+    """The hash that places a row: of its key, or of the whole row where the key is null, so that such rows spread."""
+    whole = [F.col(c) for c, t in docs.dtypes if "map" not in t and "variant" not in t]
+    return F.when(F.col(key).isNull(), F.xxhash64(*whole)).otherwise(F.xxhash64(key))
+
+
+def _arc(position: Column, nodes: list[tuple[int, int]]) -> Column:
+    """The first node at or after a ring position, after the last node the first again."""
+    cell = F.pmod(position, F.lit(CELLS)).cast("int")
     near = F.floor(cell / F.lit(CELLS // BLOCKS)).cast("int")
     # of each block of the ring: how many nodes are before it, and the nodes in it
     before, inside, at = [], [], 0
@@ -74,13 +80,14 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, replicas: int = 128, head
     """docs with two more columns: shard (0 to n_shards - 1) and slot (gapless from 0 within a shard).
 
     A shard takes at most (1 + headroom) times its share of the rows: with no headroom, the counts of shards are at
-    most one apart. Rows with a null key share one ring position; rows of one key are ranked by the other columns
+    most one apart. Rows with a null key are placed by their other columns; rows of one key are ranked by the other columns
     that can be ordered, so repeated rows differ in slot only. An empty table gives an empty result. Columns of docs
     that have the names asked for are replaced."""
     spark = docs.sparkSession
     docs = docs.drop(shard, slot)
     nodes = ring(n_shards, replicas)
-    arc = _arc(key, nodes)
+    position = _position(docs, key)
+    arc = _arc(position, nodes)
     per_arc = {r["arc"]: r["n"] for r in docs.select(arc.alias("arc")).groupBy("arc").agg(F.count("*").alias("n")).collect()}
     arcs = [per_arc.get(i, 0) for i in range(len(nodes))]
     total = sum(arcs)
@@ -93,6 +100,6 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, replicas: int = 128, head
     schema = "array<struct<arc:int,low:bigint,high:bigint,shard:int,base:bigint>>"
     intervals = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), schema)))
     ranked = Window.partitionBy("_arc").orderBy("_at", *[F.col(c) for c, t in docs.dtypes if "map" not in t and "variant" not in t and c != "text"])
-    placed = docs.withColumn("_arc", arc).withColumn("_at", F.xxhash64(key)).withColumn("_rank", F.row_number().over(ranked) - 1)
+    placed = docs.withColumn("_arc", arc).withColumn("_at", position).withColumn("_rank", F.row_number().over(ranked) - 1)
     inside = (F.col("_arc") == intervals["arc"]) & (F.col("_rank") >= intervals["low"]) & (F.col("_rank") < intervals["high"])
     return placed.join(F.broadcast(intervals), inside).select(*docs.columns, intervals["shard"].alias(shard), (F.col("_rank") + intervals["base"]).alias(slot))

@@ -61,7 +61,7 @@ def test_shards_are_balanced_and_gapless(docs, empty, rows):
 def test_shards_match_a_sequential_ring(spark):
     ids = spark.range(500).withColumnRenamed("id", "doc_id")
     n, nodes = 5, sharding.ring(5, 16)
-    place = {r["doc_id"]: r for r in ids.select("doc_id", F.xxhash64("doc_id").alias("at"), sharding._arc("doc_id", nodes).alias("arc")).collect()}
+    place = {r["doc_id"]: r for r in ids.select("doc_id", F.xxhash64("doc_id").alias("at"), sharding._arc(F.xxhash64("doc_id"), nodes).alias("arc")).collect()}
     for r in place.values():  # the first node clockwise
         cell = r["at"] % sharding.CELLS
         assert r["arc"] == next((i for i, (p, _) in enumerate(nodes) if p >= cell), 0)
@@ -85,6 +85,14 @@ def test_shards_match_a_sequential_ring(spark):
     assert got == expected
 
 
+def test_rows_without_a_key_spread(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    nodes = sharding.ring(8, 16)
+    assert rows.select(sharding._arc(sharding._position(rows, "doc_id"), nodes).alias("arc")).distinct().count() > len(nodes) / 2
+    got = sharding.assign_shards(rows, 8, replicas=16).groupBy("shard").count().collect()
+    assert {r["count"] for r in got} == {375}
+
+
 def test_few_rows_move_when_a_shard_is_added(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     a = sharding.assign_shards(ids, 40, headroom=0.25)
