@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import pages, relational
+from corpusloom.plans import composites, pages, relational
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.QUERIES | pages.QUERIES
+    return relational.QUERIES | pages.QUERIES | composites.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.SQL | pages.SQL
+    return relational.SQL | pages.SQL | composites.SQL

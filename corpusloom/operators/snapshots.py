@@ -66,8 +66,8 @@ def line_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
     """pairs with diff: struct(added_lines, removed_lines, diff, diff_truncated) of lines that aren't blank, up to 40 shown."""
     ship(pairs.sparkSession)
     schema = "struct<added_lines:int,removed_lines:int,diff:array<string>,diff_truncated:boolean>"
-    rows = pairs.withColumn("_old", content_lines(F.col(old))).withColumn("_new", content_lines(F.col(new)))
-    at = rows.columns.index("_old")
+    at = len(pairs.columns)
+    rows = pairs.select(*pairs.columns, content_lines(F.col(old)).alias("_lines_before"), content_lines(F.col(new)).alias("_lines_after"))
 
     def compare(a: list, b: list) -> dict:
         shown, added, removed = [], 0, 0

@@ -75,3 +75,26 @@ def test_quotas_of_a_stream(spark, tmp_path):
     rows = [("t", 0.0), ("t", 0.1), ("t", 2.0), ("t", 4.0), ("t", 86401.0)]
     got = streamed(spark, tmp_path, spark.createDataFrame(rows, schema), schema, lambda s: watch.enforce_quotas(s, 1.0, 2), "quota_seen")
     assert [(r["ts"], r["reason"]) for r in sorted(got)] == [(0.0, ""), (0.1, "rate"), (2.0, ""), (4.0, "daily_quota"), (86401.0, "")]
+
+
+def test_forms_of_pages(spark):
+    from corpusloom.plans import composites
+
+    pages = spark.createDataFrame([(1, "https://h.org/p", PAGE)], "page_id int, url string, html string")
+    forms = {f: composites.read_pages(pages, f).first() for f in composites.FORMS}
+    assert forms["html"]["content"] == PAGE and forms["markdown"]["content"].startswith("# ") and not forms["text"]["content"].startswith("#")
+    assert isinstance(forms["blocks"]["content"], list) and forms["chunks"]["index"] == 0
+    cut = composites.read_pages(pages, query="paragraph").first()
+    assert cut["excerpted"] and "paragraph" in cut["content"] and "# Head" not in cut["content"]
+    assert not composites.read_pages(pages, query="zzzz").first()["excerpted"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from corpusloom.__main__ import main
+
+    (tmp_path / "s.json").write_text('{"a": "h1", "n": {"selector": "p", "type": "count"}}')
+    assert main(["schema", "check", f"{tmp_path}/s.json"]) == 0 and "`n`:int" in capsys.readouterr().out
+    (tmp_path / "s.json").write_text('{"a": {"type": "odd"}}')
+    assert main(["schema", "check", f"{tmp_path}/s.json"]) == 1
+    (tmp_path / "d.jsonl").write_text('{"tool": "fetch", "tokens": 3, "content": "x"}\nno\n')
+    assert main(["dataset", "stats", f"{tmp_path}/d.jsonl"]) == 0 and '{"bad": 1}' in capsys.readouterr().out
