@@ -2,9 +2,10 @@
 
 Suffixes are kept at content-selected positions only: the least hash of 16 consecutive words in every window of 35
 such hashes. Any 50 words that occur twice hold the same selected position. The suffixes are sorted over the cluster,
-first by the hash of their 16 words, which tells the few that occur twice; those are sorted again by the words that
-follow, compared with their neighbours, and the matches extended to the right and to the left, word by word. Matches
-of 50 words or more are repeats; a long passage is the union of the matches at its selected positions.
+first by the hash of their 16 words, which tells the few that occur twice. A repeat that holds such a seed begins 0 to
+34 words before it, so all suffixes that begin there are sorted again, by two hashes of their first 50 words: suffixes
+that share 50 words or more are neighbours in that one order, whatever other texts have the seed too. A long passage
+is the union of the 50 words of its suffixes.
 
 Texts that are equal as a whole take part once; their copies are matched as whole texts.
 """
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.base import durable, partitions, prepare
 from corpusloom.llm.mixing import n_words
-from corpusloom.llm.textkit import Words, shingles
+from corpusloom.llm.textkit import Words, mix, shingles
 
 SEED, PASSAGE = 16, 50
-REACH = PASSAGE - SEED  # words beyond the seed that decide whether it lies in a repeat
+REACH = PASSAGE - SEED  # words before the seed where a repeat that holds it can begin
+_OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
 def selected(grams: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -132,92 +134,115 @@ def _repeated(before: dict[int, dict], after: dict[int, dict]):
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each (doc_id, text, positions): seed, the words after it and, outwards, the words before it, as 32-bit hashes.
-
-    Zero stands beyond the text's ends."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each (doc_id, text, positions) the suffixes that begin up to REACH words before a seed: two hashes of the
+    first PASSAGE words of each."""
     for batch in batches:
         words = Words(batch.column(1))
         hashes = words.hashes()
-        grams, first = shingles(hashes, words.first, SEED)
-        short = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1).astype(">u4")
+        keys, first = shingles(hashes, words.first, PASSAGE)
+        checks, _ = shingles(mix(hashes ^ _OTHER), words.first, PASSAGE)
         positions = batch.column(2)
         counts = np.diff(np.asarray(positions.offsets))
         doc = np.repeat(np.arange(batch.num_rows), counts)
         pos = positions.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        for part in np.array_split(np.arange(len(pos)), max(1, len(pos) // 20_000)):
-            d, p = doc[part], pos[part]
-            low, high = words.first[d], words.first[d + 1]
-            right = (low + p + SEED)[:, None] + np.arange(REACH)
-            left = (low + p - 1)[:, None] - np.arange(REACH)
-            cells = []
-            for at in (right, left):
-                inside = (at >= low[:, None]) & (at < high[:, None])
-                found = np.where(inside, short[np.where(inside, at, 0)], 0).astype(">u4")
-                raw = pa.py_buffer(found.tobytes())
-                cells.append(pa.Array.from_buffers(pa.binary(4 * REACH), len(p), [None, raw]).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[first[d] + p].view(np.int64)), *cells, batch.column(0).take(pa.array(d)), pa.array(p.astype(np.int32))], names=["g", "right", "left", "doc_id", "pos"])
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that rows of contexts share from the start; what is beyond a text's end matches nothing."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
-
-
-def _matches(after: dict[int, dict]):
-    """Repeats (doc_id, start, end, other_id) of neighbours in the order of what follows, and of what precedes."""
+        # 1 where the starts of a seed's suffixes begin, -1 behind them
+        many = first[doc + 1] - first[doc]
+        edge = np.zeros(len(keys) + 1, np.int64)
+        np.add.at(edge, first[doc] + np.minimum(np.maximum(pos - REACH, 0), many), 1)
+        np.add.at(edge, first[doc] + np.minimum(pos + 1, many), -1)
+        chosen = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        for at in np.array_split(chosen, max(1, len(chosen) // 20_000)):
+            d = np.searchsorted(first, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(checks[at].view(np.int64)), batch.column(0).take(pa.array(d)), pa.array((at - first[d]).astype(np.int32))], names=["k", "c", "doc_id", "pos"])
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's sorted suffixes: the first group's key, least and next doc_id, the last group's key and least doc_id."""
+    head = tail = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, c, doc = (batch.column(i).to_numpy() for i in range(3))
+        head = head or {"k": int(k[0]), "c": int(c[0]), "low": int(doc[0]), "next": None}
+        if head["next"] is None:
+            later = np.flatnonzero((k == head["k"]) & (c == head["c"]) & (doc != head["low"]))
+            head["next"] = int(doc[later[0]]) if len(later) else None
+        start = int(np.argmax((k == k[-1]) & (c == c[-1])))
+        if start or tail is None or tail[:2] != (int(k[-1]), int(c[-1])):
+            tail = (int(k[-1]), int(c[-1]), int(doc[start]))
+    if head:
+        row = head | {"task": TaskContext.get().partitionId(), "last_k": tail[0], "last_c": tail[1], "last_low": tail[2]}
+        yield pa.RecordBatch.from_pylist([row], pa.schema([("task", pa.int32()), *[(n, pa.int64()) for n in ("k", "c", "low", "next", "last_k", "last_c", "last_low")]]))
+
+
+def _groups_across(sorted_rows: DataFrame) -> tuple[dict[int, tuple], dict[int, int]]:
+    """Groups that tasks share (one row a task): (key, least doc_id) of the group that a task's first row goes on with,
+    and the doc_id after the least in the group of its last row, where that is in a later task."""
+    names = "task int, k long, c long, low long, next long, last_k long, last_c long, last_low long"
+    rows = sorted((r.asDict() for r in sorted_rows.mapInArrow(_edges, names).collect()), key=lambda r: r["task"])
+    key, end = lambda r: (r["k"], r["c"]), lambda r: (r["last_k"], r["last_c"])
+    least: list[int] = []  # of each task's last group, over all tasks
+    goes_on: dict[int, tuple] = {}
+    for i, r in enumerate(rows):
+        if i and end(rows[i - 1]) == key(r):
+            goes_on[r["task"]] = (*key(r), least[-1])
+        least.append(least[-1] if r["task"] in goes_on and key(r) == end(r) else r["last_low"])
+    follows: dict[int, int] = {}
+    for i in range(len(rows) - 2, -1, -1):
+        r, after = rows[i], rows[i + 1]
+        if end(r) == key(after):
+            other = after["low"] if after["low"] != least[i] else after["next"]
+            if other is None and key(after) == end(after):
+                other = follows.get(after["task"])
+            if other is not None:
+                follows[r["task"]] = other
+    return goes_on, follows
+
+
+def _shared(goes_on: dict[int, tuple], follows: dict[int, int]):
+    """Suffixes whose first PASSAGE words another doc_id has: (doc_id, start, end, other_id), other_id the least that has
+    them, for that one the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def words_of(column) -> np.ndarray:
-            data = b"".join(column)
-            return np.frombuffer(data, ">u4").reshape(len(column), REACH)
-
-        def pairs(g, right, left, doc, pos, order):
-            g, right, left, doc, pos = g[order], right[order], left[order], doc[order], pos[order]
-            n = np.arange(len(g))
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])])
-            prior = np.maximum.accumulate(np.where(new, n, 0)) - 1  # the last row of another text
-            i = n[(prior >= 0)]
-            i = i[g[prior[i]] == g[i]]
-            j = prior[i]
-            after, before = _common(right[i], right[j]), _common(left[i], left[j])
-            long = before + SEED + after >= PASSAGE
-            i, j, after, before = i[long], j[long], after[long], before[long]
-            a = (doc[i], pos[i] - before, pos[i] + SEED + after, doc[j])
-            b = (doc[j], pos[j] - before, pos[j] + SEED + after, doc[i])
-            return [np.concatenate(x) for x in zip(a, b)]
-
-        def compare(now):
-            g, right, left, doc, pos = now
-            # rows of one text with one seed and one context side by side are told apart by prior, above
-            by_right = np.arange(len(g))
-            reverse = np.lexsort((doc, *left.T[::-1], g))
-            found = [np.concatenate(x) for x in zip(pairs(*now, by_right), pairs(*now, reverse))]
-            rows = np.unique(np.stack(found), axis=1) if len(found[0]) else np.zeros((4, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int64)), pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int32)), pa.array(rows[3].astype(np.int64))], names=["doc_id", "start", "end", "other_id"])
-
-        def columns(batch_columns):
-            g, right, left, doc, pos = batch_columns
-            return g, words_of(right), words_of(left), doc, pos
+        task = TaskContext.get().partitionId()
+        low, held = goes_on.get(task), None
+
+        def decide(rows, low, last):
+            k, c, doc, pos = rows
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            group = np.cumsum(new) - 1
+            least = doc[new]
+            if low is not None and low[:2] == (k[0], c[0]):
+                least[0] = low[2]
+            differs = doc != least[group]
+            other, known = np.zeros(len(least), np.int64), np.zeros(len(least), bool)
+            d = np.flatnonzero(differs)[::-1]
+            other[group[d]], known[group[d]] = doc[d], True  # the first of each group stays
+            if last is not None and not known[-1]:
+                other[-1], known[-1] = last, True
+            hit = differs | known[group]
+            found = np.where(differs, least[group], other[group])[hit]
+            columns = [pa.array(doc[hit]), pa.array(pos[hit].astype(np.int32)), pa.array((pos[hit] + PASSAGE).astype(np.int32)), pa.array(found)]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "other_id"]), (k[-1], c[-1], least[-1])
 
         for batch in batches:
-            if not batch.num_rows:
+            now = tuple(x.to_numpy() for x in batch.columns)
+            if not len(now[0]):
                 continue
-            g, right, left, doc, pos = batch.columns
-            now = columns((g.to_numpy(), right.to_pylist(), left.to_pylist(), doc.to_numpy(), pos.to_numpy().astype(np.int64)))
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now))
-            yield compare(now)
-            other = np.flatnonzero((now[3] != now[3][-1]) | (now[0] != now[0][-1]))
-            cut = int(other[-1]) if len(other) else 0
-            held = tuple(x[[cut, -1]] if cut < len(now[0]) - 1 else x[-1:] for x in now)
-        edge = after.get(TaskContext.get().partitionId())
-        if held is not None and edge is not None:
-            row = columns((np.array([edge["g"]]), [edge["right"]], [edge["left"]], np.array([edge["doc_id"]]), np.array([edge["pos"]], np.int64)))
-            yield compare(tuple(np.concatenate(x) for x in zip(held, row)))
+            k, c, doc, _ = now
+            start = int(np.argmax((k == k[-1]) & (c == c[-1])))
+            least = low[2] if not start and low is not None and low[:2] == (k[-1], c[-1]) else doc[start]
+            # rows of one doc_id wait for another one
+            cut = start if doc[-1] == least else len(k)
+            held = tuple(x[cut:] for x in now) if cut < len(k) else None
+            if cut:
+                found, low = decide(tuple(x[:cut] for x in now), low, None)
+                yield found
+        if held is not None:
+            yield decide(held, low, follows.get(task))[0]
 
     return run
 
@@ -256,12 +281,10 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     found = entries.mapInArrow(_repeated(before, after), "doc_id long, pos int")
     positions = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_p"))
     rows = given.select("doc_id", "_t").join(positions, "doc_id").select("doc_id", "_t", "_p")
-    contexts = durable(rows.mapInArrow(_contexts, "g long, right binary, left binary, doc_id long, pos int"))
-    order = ["g", "right", "left", "doc_id", "pos"]
-    contexts = contexts.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    contexts = durable(contexts)
-    _, after = _neighbours(contexts)
-    matches = contexts.mapInArrow(_matches(after), "doc_id long, start int, end int, other_id long")
+    order = ["k", "c", "doc_id", "pos"]
+    windows = rows.mapInArrow(_windows, "k long, c long, doc_id long, pos int")
+    windows = durable(windows.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    matches = windows.mapInArrow(_shared(*_groups_across(windows)), "doc_id long, start int, end int, other_id long")
     grouped = matches.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "other_id")).alias("_s"))
     partial = grouped.mapInArrow(_union, "doc_id long, start_word int, end_word int, other_id long")
     # whole copies: two hashes of the text, its least and its next doc_id

@@ -126,6 +126,20 @@ def test_repeated_passages_are_those_of_a_plain_search(docs, empty, rows):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+def test_repeats_among_texts_that_share_a_seed(spark):
+    rnd = random.Random(2)
+    rows = []
+    for group in range(25):  # two share the passage, others more words than these on either side of its middle
+        left, seed, right = words(rnd, 60), words(rnd, 16), words(rnd, 60)
+        cut = lambda a, b: f"{words(rnd, 30)} {' '.join(left.split()[60 - a :])} {seed} {' '.join(right.split()[:b])} {words(rnd, 30)}"
+        rows += [(100 * group + i, cut(a, b)) for i, (a, b) in enumerate([(17, 17), (0, 33), (33, 0), (17, 17), (5, 29), (29, 5), (60, 3), (3, 60), (12, 22), (22, 12)])]
+    got = collections.defaultdict(set)
+    for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        assert r["other_id"] != r["doc_id"]
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert dict(got) == fifty_grams(rows)
+
+
 def test_repeats_within_one_document_only_are_left_alone(spark):
     text = " ".join(["same words over and over"] * 60)
     assert suffixes.repeated_passages(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 0
