@@ -85,51 +85,33 @@ def _neighbours(sorted_rows: DataFrame) -> tuple[dict[int, dict], dict[int, dict
 
 
 def _repeated(before: dict[int, dict], after: dict[int, dict]):
-    """Rows (doc_id, pos) whose seed occurs at another place, copies of a text counted as one."""
+    """Rows (doc_id, h, pos) whose seed occurs at another place; each place has one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        names = ("g", "h", "pos", "doc_id")
-        edge = before.get(task)
-        past = tuple(np.array([edge[n]]) for n in names) if edge else None
+        past = before[task]["g"] if task in before else None
         held = None
-        following = after.get(task)
-
-        def decide(rows, past, g_next):
-            g, h, pos, doc = rows
-            if past is not None:
-                g, h, pos = (np.concatenate([p, x]) for p, x in zip(past, (g, h, pos)))
-            copy = np.concatenate([[False], (g[1:] == g[:-1]) & (h[1:] == h[:-1]) & (pos[1:] == pos[:-1])])
-            like = np.concatenate([[False], g[1:] == g[:-1]])  # as the row before it
-            # what follows, beyond copies of the same place
-            place = np.cumsum(~copy)
-            starts = np.flatnonzero(~copy)
-            nxt = np.concatenate([starts[1:], [len(g)]])[place - 1] if len(g) else starts
-            g_after = np.append(g, g_next if g_next is not None else 0)
-            hit = like | (g_after[nxt] == g) & ((nxt < len(g)) | (g_next is not None))
-            hit &= ~copy
-            return hit[len(hit) - len(doc) :]
+
+        def decide(rows, following):
+            g = rows["g"].to_numpy()
+            like = g[1:] == g[:-1]
+            hit = np.concatenate([[past == g[0]], like]) | np.concatenate([like, [following == g[-1]]])
+            return rows.select(["doc_id", "h", "pos"]).filter(pa.array(hit))
 
         for batch in batches:
-            now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            if held is not None:
-                now = tuple(np.concatenate(x) for x in zip(held, now))
-            # the last place waits for what follows it
-            tail = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]) | (now[2] != now[2][-1]))
-            cut = int(tail[-1]) + 1 if len(tail) else 0
-            held = tuple(x[cut:] for x in now)
-            held = tuple(x[:1] for x in held)  # its copies add nothing
-            if cut:
-                rows = tuple(x[:cut] for x in now)
-                hit = decide(rows, past[:3] if past else None, held[0][0])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[3][hit]), pa.array(rows[2][hit])], names=["doc_id", "pos"])
-                past = tuple(x[-1:] for x in rows)
+            if held is not None:  # a batch's last row waits for what follows it
+                now = pa.concat_batches([held, batch])
+            else:
+                now = batch
+            if now.num_rows > 1:
+                rows = now.slice(0, now.num_rows - 1)
+                yield decide(rows, now["g"][-1].as_py())
+                past = rows["g"][-1].as_py()
+            held = now.slice(now.num_rows - 1)
         if held is not None:
-            g_next = following["g"] if following and (following["h"], following["pos"]) != (held[1][0], held[2][0]) else None
-            hit = decide(held, past[:3] if past else None, g_next)
-            yield pa.RecordBatch.from_arrays([pa.array(held[3][hit]), pa.array(held[2][hit])], names=["doc_id", "pos"])
+            yield decide(held, after[task]["g"] if task in after else None)
 
     return run
 
@@ -275,10 +257,12 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     n = 2 * partitions(spark)
     given = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("_t"))
     order = ["g", "h", "pos", "doc_id"]
-    entries = durable(given.mapInArrow(_entries, "g long, h long, pos int, doc_id long"))
+    entries = given.mapInArrow(_entries, "g long, h long, pos int, doc_id long")
+    # copies of a place are one row, so that neighbours are other places
+    entries = durable(entries.groupBy("g", "h", "pos").agg(F.min("doc_id").alias("doc_id")))
     entries = durable(entries.repartitionByRange(n, *order).sortWithinPartitions(*order))
     before, after = _neighbours(entries)
-    found = entries.mapInArrow(_repeated(before, after), "doc_id long, pos int")
+    found = entries.mapInArrow(_repeated(before, after), "doc_id long, h long, pos int")
     positions = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_p"))
     rows = given.select("doc_id", "_t").join(positions, "doc_id").select("doc_id", "_t", "_p")
     order = ["k", "c", "doc_id", "pos"]

@@ -140,6 +140,19 @@ def test_repeats_among_texts_that_share_a_seed(spark):
     assert dict(got) == fifty_grams(rows)
 
 
+def test_copies_across_ranges_keep_the_other_text(spark):
+    rnd = random.Random(6)
+    rows = []
+    for group in range(12):  # many copies of a text and one other document with a passage of it
+        passage = words(rnd, 52)
+        text = f"{passage} {words(rnd, 9)}"
+        rows += [(1000 * group + i, text) for i in range(300)] + [(1000 * group + 900, f"{words(rnd, 40)} {passage} {words(rnd, 40)}")]
+    got = collections.defaultdict(set)
+    for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert dict(got) == fifty_grams(rows)
+
+
 def test_repeats_within_one_document_only_are_left_alone(spark):
     text = " ".join(["same words over and over"] * 60)
     assert suffixes.repeated_passages(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 0
