@@ -117,7 +117,7 @@ def _repeated(before: dict[int, dict], after: dict[int, dict]):
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each (doc_id, text, positions) the suffixes that begin up to REACH words before a seed: two hashes of the
+    """For each (doc_id, text, positions, h) the suffixes that begin up to REACH words before a seed: two hashes of the
     first PASSAGE words of each."""
     for batch in batches:
         words = Words(batch.column(1))
@@ -136,7 +136,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
         for at in np.array_split(chosen, max(1, len(chosen) // 20_000)):
             d = np.searchsorted(first, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(checks[at].view(np.int64)), batch.column(0).take(pa.array(d)), pa.array((at - first[d]).astype(np.int32))], names=["k", "c", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(checks[at].view(np.int64)), batch.column(0).take(pa.array(d)), pa.array((at - first[d]).astype(np.int32)), batch.column(3).take(pa.array(d))], names=["k", "c", "doc_id", "pos", "h"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,15 +183,15 @@ def _groups_across(sorted_rows: DataFrame) -> tuple[dict[int, tuple], dict[int,
 
 
 def _shared(goes_on: dict[int, tuple], follows: dict[int, int]):
-    """Suffixes whose first PASSAGE words another doc_id has: (doc_id, start, end, other_id), other_id the least that has
-    them, for that one the next."""
+    """Suffixes whose first PASSAGE words another doc_id has: (doc_id, h, start, end, other_id), other_id the least that
+    has them, for that one the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         low, held = goes_on.get(task), None
 
         def decide(rows, low, last):
-            k, c, doc, pos = rows
+            k, c, doc, pos, h = rows
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
             group = np.cumsum(new) - 1
             least = doc[new]
@@ -205,8 +205,8 @@ def _shared(goes_on: dict[int, tuple], follows: dict[int, int]):
                 other[-1], known[-1] = last, True
             hit = differs | known[group]
             found = np.where(differs, least[group], other[group])[hit]
-            columns = [pa.array(doc[hit]), pa.array(pos[hit].astype(np.int32)), pa.array((pos[hit] + PASSAGE).astype(np.int32)), pa.array(found)]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "other_id"]), (k[-1], c[-1], least[-1])
+            columns = [pa.array(doc[hit]), pa.array(h[hit]), pa.array(pos[hit].astype(np.int32)), pa.array((pos[hit] + PASSAGE).astype(np.int32)), pa.array(found)]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "start", "end", "other_id"]), (k[-1], c[-1], least[-1])
 
         for batch in batches:
             now = tuple(x.to_numpy() for x in batch.columns)
@@ -214,7 +214,7 @@ def _shared(goes_on: dict[int, tuple], follows: dict[int, int]):
                 continue
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now))
-            k, c, doc, _ = now
+            k, c, doc, _, _ = now
             start = int(np.argmax((k == k[-1]) & (c == c[-1])))
             least = low[2] if not start and low is not None and low[:2] == (k[-1], c[-1]) else doc[start]
             # rows of one doc_id wait for another one
@@ -230,19 +230,20 @@ def _shared(goes_on: dict[int, tuple], follows: dict[int, int]):
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlapping or touching spans of a document as one; other_id: the least text it shares."""
+    """Overlapping or touching spans of a text as one; other_id: the least text it shares."""
     for batch in batches:
         out = []
-        for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, spans, h in zip(*(c.to_pylist() for c in batch.columns)):
             at = None
             for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
                 if at and s["start"] <= at[2]:
                     at[2], at[3] = max(at[2], s["end"]), min(at[3], s["other_id"])
                 else:
-                    at = [doc, s["start"], s["end"], s["other_id"]]
+                    at = [doc, s["start"], s["end"], s["other_id"], h]
                     out.append(at)
-        columns = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], names=["doc_id", "start_word", "end_word", "other_id"])
+        columns = list(zip(*out)) or [()] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "start_word", "end_word", "other_id", "h"])
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -251,7 +252,8 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     Words are what stands between ASCII white space. Each side of a repeat has its row; spans of one document that
     overlap or touch are one span. Equal texts of 50 words or more repeat as a whole: each copy with the least doc_id,
     that one with the next. Repeats within one document only, null and short texts, and rows with null doc_id give
-    nothing; rows that repeat a doc_id count once, an empty table gives an empty result, other columns are ignored."""
+    nothing; rows that repeat a doc_id and its text count
+    once, each of several texts under one doc_id for itself, an empty table gives an empty result, other columns are ignored."""
     spark = docs.sparkSession
     prepare(spark)
     n = 2 * partitions(spark)
@@ -263,19 +265,19 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     entries = durable(entries.repartitionByRange(n, *order).sortWithinPartitions(*order))
     before, after = _neighbours(entries)
     found = entries.mapInArrow(_repeated(before, after), "doc_id long, h long, pos int")
-    positions = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_p"))
-    rows = given.select("doc_id", "_t").join(positions, "doc_id").select("doc_id", "_t", "_p")
-    order = ["k", "c", "doc_id", "pos"]
-    windows = rows.mapInArrow(_windows, "k long, c long, doc_id long, pos int")
+    positions = found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("_p"))
+    rows = given.join(positions, ["doc_id", "h"]).select("doc_id", "_t", "_p", "h")
+    order = ["k", "c", "doc_id", "h", "pos"]
+    windows = rows.mapInArrow(_windows, "k long, c long, doc_id long, pos int, h long")
     windows = durable(windows.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    matches = windows.mapInArrow(_shared(*_groups_across(windows)), "doc_id long, start int, end int, other_id long")
-    grouped = matches.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "other_id")).alias("_s"))
-    partial = grouped.mapInArrow(_union, "doc_id long, start_word int, end_word int, other_id long")
+    matches = windows.mapInArrow(_shared(*_groups_across(windows)), "doc_id long, h long, start int, end int, other_id long")
+    grouped = matches.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end", "other_id")).alias("_s"))
+    partial = grouped.select("doc_id", "_s", "h").mapInArrow(_union, "doc_id long, start_word int, end_word int, other_id long, h long")
     # whole copies: two hashes of the text, its least and its next doc_id
     sized = given.select("doc_id", "h", F.xxhash64("_t", F.lit(1)).alias("h2"), n_words(F.col("_t")).cast("int").alias("n")).where(F.col("n") >= PASSAGE)
     least = durable(sized.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
     # written first, so that both sides of the join are plain exchanges and a large group of copies can be split
     copies = sized.join(least, ["h", "h2", "n"])
     other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
-    whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), other.alias("other_id")).distinct()
-    return partial.join(whole.select("doc_id"), "doc_id", "left_anti").unionByName(whole)
+    whole = copies.select("doc_id", "h", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), other.alias("other_id")).distinct()
+    return partial.join(whole.select("doc_id", "h"), ["doc_id", "h"], "left_anti").unionByName(whole).drop("h")

@@ -153,6 +153,15 @@ def test_copies_across_ranges_keep_the_other_text(spark):
     assert dict(got) == fifty_grams(rows)
 
 
+def test_one_doc_id_on_two_texts(spark):
+    rnd = random.Random(9)
+    one, two, whole = words(rnd, 55), words(rnd, 60), words(rnd, 51)
+    long = f"{words(rnd, 40)} {two} {words(rnd, 307)} {one} {words(rnd, 3)}"
+    rows = [(1, long), (1, f"{one} w1"), (1, long), (2, f"w2 {two} {words(rnd, 20)}"), (3, f"{words(rnd, 4)} {one}"), (1, whole), (4, whole), (1, "short")]
+    got = {tuple(r) for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 40, 100, 2), (1, 407, 462, 3), (1, 0, 55, 3), (1, 0, 51, 4), (2, 1, 61, 1), (3, 4, 59, 1), (4, 0, 51, 1)}
+
+
 def test_repeats_within_one_document_only_are_left_alone(spark):
     text = " ".join(["same words over and over"] * 60)
     assert suffixes.repeated_passages(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 0
