@@ -186,6 +186,20 @@ def test_benchmark_items_are_found_with_edits(spark, empty):
     assert decontaminate.contaminated(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_short_items_within_reach_are_found():
+    rnd = random.Random(12)
+    items, texts = [], []
+    for i in range(1000):
+        item = [f"i{i}w{j}" for j in range(10)]
+        edited = list(item)
+        for j in rnd.sample(range(10), 2):
+            edited[j] = f"edited{rnd.randrange(1000)}"
+        items.append(" ".join(item))
+        texts.append(f"{words(rnd, 15)} {' '.join(edited)} {words(rnd, 15)}")
+    found = decontaminate.find(pa.array(texts), decontaminate.index(list(range(1000)), items))
+    assert len({(r[0], r[1]) for r in found if r[0] == r[1]}) >= 995
+
+
 def test_items_in_blocks_give_the_same(spark, docs):
     items = spark.createDataFrame([(i, words(random.Random(i), 12)) for i in range(5)] + [(7, "w1")], "item_id long, text string")
     a, b = (sorted(map(tuple, decontaminate.contaminated(docs, items, block_bytes=n).collect()), key=str) for n in (1, 1 << 20))
