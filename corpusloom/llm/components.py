@@ -48,11 +48,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before = state
         # large star: a node's larger neighbours are tied to its least neighbour
         both = stars.union(stars.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("low"))
+        # written, so that both sides of the join are plain exchanges and a star's centre can be split
+        least = durable(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("low")))
         large = both.where(F.col("root") > F.col("node")).join(least, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).where("node != root").distinct()
         # small star: a node and its smaller neighbours are tied to the least of them
         large = durable(large)
-        low = large.groupBy("node").agg(F.min("root").alias("low"))
+        low = durable(large.groupBy("node").agg(F.min("root").alias("low")))
         tied = large.join(low, "node")
         small = tied.select(F.col("root").alias("node"), F.col("low").alias("root")).where("node != root")
         stars = durable(small.union(low.select("node", F.col("low").alias("root"))).distinct())

@@ -45,30 +45,31 @@ def _part(key: Column) -> Column:
     return F.floor((F.lit(1.0) - F.exp(-key)) * RANGES).cast("int")
 
 
-def mix_sources(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), quality: str | None = None) -> DataFrame:
+def mix_sources(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), quality: str | None = None, key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, chosen) for rows (doc_id, source, size and, if named, quality).
 
     epochs: complete passes; chosen: whether the fractional selection takes the document once more. A document is
     chosen if at least half of it fits in what is left of the target. quality: weight over zero; null counts as 1.
-    Keys depend on doc_id alone, so reruns agree; rows with equal doc_id follow one another by size. Null sources are
-    one source. An empty table gives an empty result."""
+    Random numbers depend on the column `key` alone, so reruns agree; rows with equal keys follow one another by doc_id
+    and size. Null sources are one source. Columns named in `also` are passed on. An empty table gives an empty result."""
     weight = F.greatest(F.coalesce(F.col(quality).cast("double"), F.lit(1.0)), F.lit(1e-6)) if quality else F.lit(1.0)
-    exponential = -F.log(uniform(F.col("doc_id"))) / weight
-    rows = sized.select("doc_id", "source", F.col("size").cast("long").alias("size"), exponential.alias("_key"))
+    exponential = -F.log(uniform(F.col(key))) / weight
+    # sources by a name that is never null, so that windows and joins deal out rows alike
+    named = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source"))).alias("_name")
+    rows = sized.select("doc_id", "source", F.col("size").cast("long").alias("size"), exponential.alias("_key"), named, *also)
     rows = rows.withColumn("_part", _part(F.col("_key")))
-    parts = rows.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
+    parts = rows.groupBy("source", "_name", "_part").agg(F.sum("size").alias("_sum"))
     by_source = targets(parts.groupBy("source").agg(F.sum("_sum").alias("source_size")), share, cap, weights)
-    offsets = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    offsets = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy("_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     same = F.col("p.source").eqNullSafe(F.col("s.source"))
-    offsets = offsets.alias("p").join(by_source.alias("s"), same).select(F.col("p.source").alias("source"), F.col("p._part").alias("_part"), "_before", "source_size", "target")
-    within = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_own", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("r")
-    both = F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r._part") == F.col("o._part"))
-    joined = placed.join(offsets.alias("o"), both)
+    offsets = offsets.alias("p").join(by_source.alias("s"), same).select("_name", "_part", "_before", "source_size", "target")
+    within = Window.partitionBy("_name", "_part").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_own", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = placed.join(offsets, ["_name", "_part"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     left = F.col("target") - epochs * F.col("source_size")
     chosen = (F.col("size") > 0) & (F.col("_before") + F.col("_own") + F.col("size") / 2.0 <= left)
-    return joined.select("r.doc_id", "r.source", "r.size", "source_size", "target", epochs.alias("epochs"), chosen.alias("chosen"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), chosen.alias("chosen"), *also)
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -78,14 +79,22 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """mix_sources over (doc_id, text, source), sized in words, with quality weights from labels (1 where unrated)."""
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    """mix_sources over (doc_id, text, source), sized in words, with quality weights from labels (1 where unrated).
+
+    Random numbers depend on doc_id and text, so rows without a doc_id, or with that of others, are spread; row_hash is a
+    hash of all columns of docs that can be hashed."""
+    whole = F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map" not in t and "variant" not in t])
+    key = F.md5(F.concat_ws("/", docs["doc_id"].cast("string"), docs["text"]))
+    slim = docs.select(docs["doc_id"], docs["source"], n_words(docs["text"]).alias("size"), key.alias("key"), whole.alias("row_hash"))
     rated = slim.join(label_weights(labels), "doc_id", "left")
-    return mix_sources(rated, share, cap, weights, quality="quality_weight")
+    return mix_sources(rated, share, cap, weights, quality="quality_weight", key="key", also=("row_hash",))
 
 
 def mixed_corpus(docs: DataFrame, labels: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """docs as often as the mix takes them: 0 to cap times. Columns as in docs; rows that repeat a doc_id share its fate."""
-    takes = mix_documents(docs, labels, share, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("epochs") + F.col("chosen").cast("int")).alias("_takes"))
-    joined = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_takes > 0")
-    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_takes")))).select(*docs.columns)
+    """docs as often as the mix takes them: 0 to cap times. Columns as in docs, whatever their names; rows are told apart
+    by doc_id and a hash of all columns, and rows that are equal in all share a fate, the best of theirs."""
+    takes = mix_documents(docs, labels, share, cap).groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.max(F.col("epochs") + F.col("chosen").cast("int")).alias("_takes"))
+    whole = F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map" not in t and "variant" not in t])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_d"), whole.alias("_r"))
+    joined = rows.join(takes.where("_takes > 0"), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_hash")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_takes")))).select("_row.*")

@@ -47,7 +47,8 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.digests(linededup.keep_bitmaps(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return linededup.digests(docs, linededup.keep_bitmaps(docs))
 
 
 def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ SQL = {
 WITH rated AS (SELECT doc_id, max(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS w
                FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 docs AS (SELECT d.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / coalesce(w, 1.0) AS k
+                -ln((('0x' || substr(md5(md5(concat_ws('/', d.doc_id::VARCHAR, text))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / coalesce(w, 1.0) AS k
          FROM documents d LEFT JOIN rated r ON d.doc_id = r.doc_id),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM sizes),

@@ -3,7 +3,8 @@
 The ring is cut by `n_shards * replicas` virtual nodes; an arc is the stretch of keys that ends at one node. A
 shard takes no more than its capacity. Keys that find their shard full go on clockwise to the next node with room,
 keys of a first choice before keys that were turned away. Within an arc, keys are taken in the order of their ring
-position, so an arc is a few intervals of ranks, each of one shard.
+position, so an arc is a few intervals of ranks, each of one shard. A key has SALTS positions on the ring, among which
+its rows are dealt by their content, so that a key which many rows share isn't one arc.
 
 Only the counts of the arcs (a table whose size depends on the ring, not on the rows) reach the driver, which
 settles the overflow there; the rows are shuffled once, by arc, to learn their rank in it.
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CELLS = 1 << 20
 BLOCKS = 1 << 12
+SALTS = 16
 
 
 def ring(n_shards: int, replicas: int) -> list[tuple[int, int]]:
@@ -31,10 +33,15 @@ def ring(n_shards: int, replicas: int) -> list[tuple[int, int]]:
     return sorted(nodes.items())
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns but those of types that can't be hashed."""
+    return F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map" not in t and "variant" not in t])
+
+
 def _position(docs: DataFrame, key: str) -> Column:
-    """The hash that places a row: of its key, or of the whole row where the key is null, so that such rows spread."""
-    whole = [F.col(c) for c, t in docs.dtypes if "map" not in t and "variant" not in t]
-    return F.when(F.col(key).isNull(), F.xxhash64(*whole)).otherwise(F.xxhash64(key))
+    """The hash that places a row: of its key and its salt, or of the whole row where the key is null."""
+    whole = _row_hash(docs)
+    return F.when(docs[key].isNull(), whole).otherwise(F.xxhash64(docs[key], F.pmod(whole, F.lit(SALTS))))
 
 
 def _arc(position: Column, nodes: list[tuple[int, int]]) -> Column:
@@ -80,15 +87,16 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, replicas: int = 128, head
     """docs with two more columns: shard (0 to n_shards - 1) and slot (gapless from 0 within a shard).
 
     A shard takes at most (1 + headroom) times its share of the rows: with no headroom, the counts of shards are at
-    most one apart. Rows with a null key are placed by their other columns; rows of one key are ranked by the other columns
-    that can be ordered, so repeated rows differ in slot only. An empty table gives an empty result. Columns of docs
-    that have the names asked for are replaced."""
+    most one apart. Rows with a null key are placed by their other columns; rows of one ring position are ranked by a hash
+    of all columns, so repeated rows differ in slot only. An empty table gives an empty result. Columns of docs that have
+    the names asked for are replaced; all others keep theirs, whatever these are."""
     spark = docs.sparkSession
     docs = docs.drop(shard, slot)
     nodes = ring(n_shards, replicas)
-    position = _position(docs, key)
-    arc = _arc(position, nodes)
-    per_arc = {r["arc"]: r["n"] for r in docs.select(arc.alias("arc")).groupBy("arc").agg(F.count("*").alias("n")).collect()}
+    # the columns of docs travel as one, so that none can clash with those of the ring
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), _position(docs, key).alias("_at"), _row_hash(docs).alias("_tie"))
+    arc = _arc(F.col("_at"), nodes)
+    per_arc = {r["arc"]: r["n"] for r in rows.select(arc.alias("arc")).groupBy("arc").agg(F.count("*").alias("n")).collect()}
     arcs = [per_arc.get(i, 0) for i in range(len(nodes))]
     total = sum(arcs)
     capacity = [-(-int(total * (1 + headroom)) // n_shards)] * n_shards if headroom else [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -99,7 +107,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, replicas: int = 128, head
         offset[owner] += high - low
     schema = "array<struct<arc:int,low:bigint,high:bigint,shard:int,base:bigint>>"
     intervals = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), schema)))
-    ranked = Window.partitionBy("_arc").orderBy("_at", *[F.col(c) for c, t in docs.dtypes if "map" not in t and "variant" not in t and c != "text"])
-    placed = docs.withColumn("_arc", arc).withColumn("_at", position).withColumn("_rank", F.row_number().over(ranked) - 1)
+    ranked = Window.partitionBy("_arc").orderBy("_at", "_tie")
+    placed = rows.withColumn("_arc", arc).withColumn("_rank", F.row_number().over(ranked) - 1)
     inside = (F.col("_arc") == intervals["arc"]) & (F.col("_rank") >= intervals["low"]) & (F.col("_rank") < intervals["high"])
-    return placed.join(F.broadcast(intervals), inside).select(*docs.columns, intervals["shard"].alias(shard), (F.col("_rank") + intervals["base"]).alias(slot))
+    return placed.join(F.broadcast(intervals), inside).select("_row.*", intervals["shard"].alias(shard), (F.col("_rank") + intervals["base"]).alias(slot))

@@ -7,7 +7,8 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of 0 to 8 bytes
 _powers: dict[int, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
@@ -37,8 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a batch: bytes `starts[i]:ends[i]` of `data`; document d has words `first[d]:first[d + 1]`."""
 
-    sums: np.ndarray | None = None
-
     def __init__(self, texts: pa.Array, lower: bool = False, separators: np.ndarray = SPACE):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
@@ -57,13 +56,24 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
 
     def hashes(self, which: np.ndarray | slice = slice(None), ends: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; of the words `which` up to `ends`, if these are given."""
-        n, starts = len(self.data), self.starts[which]
+        """A 64-bit hash of each word's bytes; of the words `which` up to `ends`, if these are given.
+
+        Eight bytes at a time are scrambled with their place in the word, and summed: no linear structure is left in
+        which regular words could cancel out."""
+        starts = self.starts[which]
+        size = (self.ends[which] if ends is None else ends) - starts
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        many = np.maximum(-(-size // 8), 1)
+        last = np.cumsum(many)
+        nth = np.arange(last[-1]) - np.repeat(last - many, many)
+        at = np.repeat(starts, many) + 8 * nth
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eights = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))[at]
+        eights &= _FIRST_BYTES[np.clip(np.repeat(size, many) - 8 * nth, 0, 8)]
         with np.errstate(over="ignore"):
-            if self.sums is None:
-                self.sums = np.zeros(n + 1, np.uint64)
-                np.cumsum(_CODES[self.data] * _power(_BASE, n), out=self.sums[1:])
-            return mix((self.sums[self.ends[which] if ends is None else ends] - self.sums[starts]) * _power(_INVERSE, n + 1)[starts])
+            found = mix(eights ^ mix(_BASE * (nth.astype(np.uint64) + np.uint64(1))))
+            return mix(np.add.reduceat(found, last - many) + size.astype(np.uint64) * _LENGTH)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -1,10 +1,10 @@
 """Tokenizer ids of whole texts, inside tasks.
 
 Byte-level BPE cuts a text before every single space that starts a word, so the ids of a text are the ids of its
-words, each with its leading space. Words are found and hashed batch by batch with array operations; each distinct
-word is encoded once per worker and its ids are kept in a bounded pool; a text's ids are gathered from the pool.
-First words of texts, and texts where white space isn't so plain, are encoded as they are. Strings of special tokens
-count as ordinary text.
+words, each with its leading space. A batch's words are told apart by Arrow's dictionary encoding; each distinct
+word is encoded once per worker and its ids are kept, under the word itself, in a bounded pool; a text's ids are
+gathered from the pool. First words of texts, and texts where white space isn't so plain, are encoded as they are.
+Strings of special tokens count as ordinary text.
 """
 
 from __future__ import annotations
@@ -14,20 +14,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from corpusloom.llm.textkit import Words
-
-WORDS_KEPT = 2_000_000
+POOL_BYTES = 96 << 20
+WORD_BYTES = 160  # what a word costs in the pool besides its letters
 JOINED = 500
 _BEFORE_SPACE = [chr(c) + " " for c in range(0x3001) if re.match(r"\s", chr(c))]
-_ONLY_SPACE = np.arange(256) == 32
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Texts to ids of 16 bits (the vocabulary must fit). words_kept bounds the pool: beyond it, it starts anew."""
+    """Texts to ids of 16 bits (the vocabulary must fit). pool_bytes bounds the pool: beyond it, it starts anew."""
 
-    def __init__(self, path: str, words_kept: int = WORDS_KEPT):
+    def __init__(self, path: str, pool_bytes: int = POOL_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -37,12 +36,12 @@ class Encoder:
         if size > 1 << 16:
             raise ValueError("ids don't fit in 16 bits")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.words_kept = words_kept
+        self.pool_bytes = pool_bytes
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, "<u2")
+        self.rows: dict[str, int] = {}
+        self.at, self.size, self.pool, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u2"), 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,53 +76,53 @@ class Encoder:
             sizes.append(np.diff(starts, append=len(found)))
         return np.concatenate([np.zeros(0, "<u2"), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         ids, size = self._spaced(words)
-        at = len(self.pool) + np.cumsum(size) - size
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, ids])
-        place = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.at, self.size = (np.insert(old, place, new) for old, new in ((self.hashes, hashes), (self.at, at), (self.size, size)))
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words)
+
+    def _rows_of(self, words: list[str]) -> np.ndarray:
+        """The pool's row of each of these distinct words (an empty one, which has no ids, gets row 0)."""
+        known = self.rows.get
+        rows = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
+        new = [words[i] for i in np.flatnonzero(rows < 0) if words[i]]
+        if new and self.held > self.pool_bytes:
+            self._forget()
+            new = [w for w in words if w]
+        if new:
+            self._learn(new)
+            known = self.rows.get
+            rows = np.fromiter((known(w, 0) for w in words), np.int64, len(words))
+        return np.maximum(rows, 0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more at the end). A null text has none, like an empty one."""
         strings = texts.to_pylist()
         odd = [i for i, t in enumerate(strings) if t and (t[0] == " " or t[-1] == " " or any(x in t for x in _BEFORE_SPACE))]
+        apart = set(odd)
         if odd:
-            apart = set(odd)
-            texts = pa.array([None if i in apart else t for i, t in enumerate(strings)], pa.string())
-        words = Words(texts, separators=_ONLY_SPACE)
-        filled = np.flatnonzero(np.diff(words.first))
-        heads = words.first[:-1][filled]
-        inner = np.ones(len(words.starts), bool)
-        inner[heads] = False
-        hashes = words.hashes()
-        distinct, example, which = np.unique(hashes[inner], return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = place < len(self.hashes)
-        known[inside] = self.hashes[place[inside]] == distinct[inside]
-        if len(self.hashes) + (~known).sum() > self.words_kept:
-            self._forget()
-            known[:] = False
-        if not known.all():
-            raw, at = words.data.tobytes(), np.flatnonzero(inner)[example[~known]]
-            self._learn(distinct[~known], [raw[a:b].decode() for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())])
-        row = np.searchsorted(self.hashes, distinct)[which]
-        own = self.whole([strings[i].partition(" ")[0] for i in filled.tolist()]) + self.whole([strings[i] for i in odd])
+            texts = pa.array([None if i in apart else t for i, t in enumerate(strings)], pa.large_string())
+        lists = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), " ")
+        first = np.asarray(lists.offsets).astype(np.int64)
+        first = first - first[0]
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = first[:-1]  # each text has a first piece, maybe an empty one
+        plain = ["" if i in apart or not t else t.partition(" ")[0] for i, t in enumerate(strings)]
+        own = self.whole(plain) + self.whole([strings[i] for i in odd])
+        row = self._rows_of(words)[coded.indices.to_numpy(zero_copy_only=False)]
         own_size = np.fromiter(map(len, own), np.int64, len(own))
         own_at = len(self.pool) + np.cumsum(own_size) - own_size
         pool = np.concatenate([self.pool, *own])
-        at, size = np.zeros(len(inner), np.int64), np.zeros(len(inner), np.int64)
-        at[inner], size[inner] = self.at[row], self.size[row]
+        at, size = (x[row] if len(x) else np.zeros(len(row), np.int64) for x in (self.at, self.size))
         at[heads], size[heads] = own_at[: len(heads)], own_size[: len(heads)]
-        if odd:  # each odd text is one more piece, in its place
-            where = words.first[:-1][odd]
-            at, size = np.insert(at, where, own_at[len(heads) :]), np.insert(size, where, own_size[len(heads) :])
-        pieces = np.diff(words.first)
-        pieces[odd] = 1
+        at[heads[odd]], size[heads[odd]] = own_at[len(heads) :], own_size[len(heads) :]  # an odd text is one piece
         ends = np.cumsum(size)
         ids = pool[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])]
+        return ids, np.concatenate([[0], ends])[first]
 
     def encode_each(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as bytes."""

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import components, decontaminate, files, linededup, mixing, quality, queries, separators, sharding, simhash, sketches, sstable, suffixes
@@ -61,7 +63,7 @@ def test_shards_are_balanced_and_gapless(docs, empty, rows):
 def test_shards_match_a_sequential_ring(spark):
     ids = spark.range(500).withColumnRenamed("id", "doc_id")
     n, nodes = 5, sharding.ring(5, 16)
-    place = {r["doc_id"]: r for r in ids.select("doc_id", F.xxhash64("doc_id").alias("at"), sharding._arc(F.xxhash64("doc_id"), nodes).alias("arc")).collect()}
+    place = {r["doc_id"]: r for r in ids.select("doc_id", sharding._position(ids, "doc_id").alias("at"), sharding._arc(sharding._position(ids, "doc_id"), nodes).alias("arc")).collect()}
     for r in place.values():  # the first node clockwise
         cell = r["at"] % sharding.CELLS
         assert r["arc"] == next((i for i, (p, _) in enumerate(nodes) if p >= cell), 0)
@@ -258,8 +260,9 @@ def test_mix_agrees_with_sql(spark, docs, empty, rows, tmp_path):
     kept = mixing.mixed_corpus(docs, labels)
     takes = collections.Counter()
     for r in mixing.mix_documents(docs, labels).collect():
-        takes[r["doc_id"]] = max(takes[r["doc_id"]], r["epochs"] + r["chosen"])
-    assert kept.columns == docs.columns and kept.count() == sum(takes[r[0]] for r in rows)
+        takes[r["row_hash"]] = max(takes[r["row_hash"]], r["epochs"] + r["chosen"])
+    assert kept.columns == docs.columns
+    assert collections.Counter(r["h"] for r in kept.select(F.xxhash64(*docs.columns).alias("h")).collect()) == collections.Counter(x for r in docs.select(F.xxhash64(*docs.columns).alias("h")).collect() for x in [r["h"]] * takes[r["h"]])
 
 
 def test_mix_reaches_targets(spark):
@@ -272,8 +275,16 @@ def test_mix_reaches_targets(spark):
     assert abs(by.target.sum() - 1.5 * by["size"].sum()) < 1e-3
 
 
+def plain_fingerprint(text):
+    """A bit at a time, by the contract's words."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or ""))
+    grams = [" ".join(found[i : i + 4]) for i in range(max(len(found) - 3, 1))] if found else []
+    hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def hamming_components(rows):
-    fps = [(d, simhash.fingerprint(t)) for d, t, *_ in rows]
+    fps = [(d, plain_fingerprint(t)) for d, t, *_ in rows]
     groups = [{i} for i in range(len(fps))]
     for i, (_, x) in enumerate(fps):
         for j, (_, y) in enumerate(fps[:i]):
@@ -284,6 +295,48 @@ def hamming_components(rows):
     return sorted(((d, f, min((fps[k][0] for k in groups[i] if fps[k][0] is not None), default=None)) for i, (d, f) in enumerate(fps)), key=str)
 
 
+@pytest.mark.parametrize("kept", [3, 5])
+def test_every_grid_of_blocks_is_complete(spark, kept):
+    rnd = random.Random(kept)
+    points = [rnd.getrandbits(64) for _ in range(150)]
+    points += [p ^ sum(1 << b for b in rnd.sample(range(64), 4)) for p in points]
+    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long")
+    roots = {r["node"]: r["root"] for r in components.components(simhash.links(frame, 4, kept=kept)).collect()}
+    signed = [p - (1 << 64) if p >> 63 else p for p in points]
+    assert all(roots.get(a, a) == roots.get(b, b) for a, b in zip(signed, signed[150:]))
+    assert simhash.blocks_kept(10**5, 4) == 3 and simhash.blocks_kept(10**9, 4) >= 5
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("cell_rows", [2048, 9])
+def test_near_copies_go_and_one_of_each_class_stays(spark, cell_rows):
+    rnd, rows = random.Random(5), []
+    for i in range(120):
+        w = words(rnd, rnd.randint(200, 400)).split()
+        near = list(w)
+        for _ in range(len(w) // 100):
+            near[rnd.randrange(len(w))] = "edited"
+        assert jaccard(" ".join(w), " ".join(near)) > 0.85
+        rows += [(10 * i, " ".join(w), "a"), (10 * i + 1, " ".join(near), "b")]
+        if i < 20:
+            rows.append((10 * i + 2, " ".join(w).upper(), "c"))
+    rows += [(rows[0][0], words(rnd, 50), "other text"), (None, rows[3][1], "n"), (None, words(rnd, 40), "n"), rows[6], rows[6], (5000, None, "z"), (5001, "", "z"), (5002, " ", "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    kept = simhash.drop_near_duplicates(frame, cell_rows=cell_rows)
+    assert kept.columns == frame.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert len(got) == len(set(got)) and set(got) <= set(rows)
+    assert sum(r[0] is not None and r[0] < 5000 and r[0] % 10 == 0 for r in got) == 121  # none of the firsts goes
+    assert sum(r[0] is not None and r[0] < 5000 and r[0] % 10 == 1 for r in got) <= 12
+    assert sum(r[0] is not None and r[0] % 10 == 2 and r[0] < 5000 for r in got) == 0
+    assert [r[1] for r in got if r[0] is None] == [rows[-6][1]] and [r[0] for r in got if r[2] == "z"] == [5000]
+    assert simhash.drop_near_duplicates(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("cell_rows", [2048, 9])
 def test_simhash_components_are_those_of_all_pairs(spark, docs, empty, rows, cell_rows):
     got = [(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(docs, cell_rows=cell_rows).collect()]
@@ -348,7 +401,7 @@ def test_line_dedup_agrees_with_a_plain_version(docs, empty, rows):
         lines = (t or "").split("\n")
         kept = [x for x in lines if d is None or len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(holders[key(x)]) == d]
         expected.append((d, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    got = linededup.digests(linededup.keep_bitmaps(docs)).collect()
+    got = linededup.digests(docs, linededup.keep_bitmaps(docs)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
     assert sum(r["n_dropped"] for r in got) > 0
     assert linededup.keep_bitmaps(empty).count() == 0
@@ -398,7 +451,7 @@ def counts(rows):
 
 
 def test_words_encode_as_whole_texts():
-    encoder, rnd = Encoder(PATH, words_kept=50), random.Random(3)
+    encoder, rnd = Encoder(PATH, pool_bytes=5000), random.Random(3)
     letters = [*"ab AB  \n\t.,'s123!é", " ", "日本", "\x1c", "\x85", "<|endoftext|>", "😀", "\r\n", " ", "　"]
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
     for i in range(0, 3000, 500):
