@@ -3,8 +3,9 @@
 A cumulative-link model: P(grade <= j) = logistic(threshold[j] - score), one score for all grades, thresholds in
 order. The score is a sum of weights of hashed features: the words a text has (A-Z lower-cased, without ASCII
 punctuation) and their first 4 and 5 bytes, the share of its tokens of each shape (runs of upper case, lower case,
-digits and each sign), and the share of tokens that repeat one of the two before. It is fitted on a bounded sample of
-rated documents, with the features whose mean differs clearly between grades; every document is scored whole.
+digits and each sign), and the share of tokens that repeat one of the two before. It is fitted in one task on a sample
+of rated documents that sample_rows bounds, with the features whose mean differs clearly between grades; the driver
+holds the weights only. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ BUCKETS = 1 << 18
 SAMPLE_ROWS = 12_000
 MIN_TEXTS = 4
 CLEAR = 0.4
+BLOCK = 1000  # rows whose features a round of the fit looks at together
 SHAPE_SCALE = 12.0
 
 _SIGN = np.zeros(256, bool)
@@ -78,8 +80,9 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def scores(self, buckets: np.ndarray, values: np.ndarray, first: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[buckets].astype(np.float64) * values)])
-        return sums[first[1:]] - sums[first[:-1]]
+        """Each row's own sum, so that equal texts have equal scores wherever they are."""
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        return np.bincount(row, weights=self.weights[buckets].astype(np.float64) * values, minlength=len(first) - 1)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > j) for each threshold j."""
@@ -92,9 +95,10 @@ def fit(buckets: np.ndarray, values: np.ndarray, first: np.ndarray, grades: np.n
     Grades that no row has share a threshold; without rows every tail probability is 1."""
     if not len(grades):
         return OrdinalModel(np.zeros(BUCKETS, np.float32), np.full(levels - 1, -60.0))
-    row = np.repeat(np.arange(len(grades)), np.diff(first))
-    names, column = np.unique(buckets, return_inverse=True)
-    value = values.astype(np.float64)
+    names = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[names] = np.arange(len(names))
+    column = place[buckets]
     n, k = len(grades), levels - 1
     share = np.clip(np.array([(grades <= j).mean() for j in range(k)]), 1e-6, 1 - 1e-6)
     base = np.log(share / (1 - share))
@@ -102,10 +106,16 @@ def fit(buckets: np.ndarray, values: np.ndarray, first: np.ndarray, grades: np.n
     x = np.concatenate([np.zeros(len(names)), theta])
     first_moment, second_moment = np.zeros(len(x)), np.zeros(len(x))
     logistic = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+
+    def blocks() -> Iterator[tuple]:
+        for a in range(0, n, BLOCK):
+            b = min(a + BLOCK, n)
+            yield a, b, np.repeat(np.arange(b - a), np.diff(first[a : b + 1])), column[first[a] : first[b]], values[first[a] : first[b]]
+
     for t in range(1, rounds + 1):
         w, gaps = x[: len(names)], np.exp(x[len(names) + 1 :])
         cut = x[len(names)] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row, weights=w[column] * value, minlength=n)
+        score = np.concatenate([np.bincount(row, weights=w[c] * v, minlength=b - a) for a, b, row, c, v in blocks()])
         z = np.concatenate([np.full((n, 1), -np.inf), cut[None, :] - score[:, None], np.full((n, 1), np.inf)], axis=1)
         c = np.where(np.isinf(z), (z > 0) * 1.0, logistic(np.where(np.isinf(z), 0, z)))
         upper, lower = c[np.arange(n), grades + 1], c[np.arange(n), grades]
@@ -113,7 +123,7 @@ def fit(buckets: np.ndarray, values: np.ndarray, first: np.ndarray, grades: np.n
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p  # of the log likelihood by upper and lower cut
         g_score = -(du - dl)
         g_cut = np.array([du[grades == j].sum() - dl[grades == j + 1].sum() for j in range(k)]) / n
-        g_w = np.bincount(column, weights=value * g_score[row], minlength=len(names)) / n - penalty * w
+        g_w = sum(np.bincount(c, weights=v * g_score[a:b][row], minlength=len(names)) for a, b, row, c, v in blocks()) / n - penalty * w
         tail = np.cumsum(g_cut[::-1])[::-1]
         gradient = np.concatenate([g_w, tail[:1], tail[1:] * gaps])
         first_moment = 0.9 * first_moment + 0.1 * gradient
@@ -159,8 +169,8 @@ def clear_features(sampled: DataFrame, levels: int, min_texts: int = MIN_TEXTS,
 def train(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, levels: int = 3, text: str = "text") -> OrdinalModel:
     """Fit on at most sample_rows documents of rated (doc_id, grade), those with the least hash of their id.
 
-    The bound holds what reaches the driver: the screened features of that many texts. Null grades and ids are left out; of
-    repeated ratings the least counts."""
+    The bound holds what the fitting task gets: the screened features of that many texts. Null grades and ids are left
+    out; of repeated ratings the least counts."""
     spark = docs.sparkSession
     prepare(spark)
     ids = rated.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -175,7 +185,7 @@ def train(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, lev
 
     # rows that repeat a doc_id may be many: the bound is on rows too
     sampled = durable(texts.orderBy("k").limit(sample_rows).repartition(8).mapInArrow(run, "grade int, k long, b array<int>, v array<float>"))
-    kept = np.sort(np.array([r["bucket"] for r in clear_features(sampled, levels).collect()], np.int32))  # at most BUCKETS
+    kept = np.sort(np.asarray(clear_features(sampled, levels).toArrow()["bucket"]).astype(np.int32))  # at most BUCKETS
     names = spark.sparkContext.broadcast(kept)
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +197,18 @@ def train(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, lev
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=batch.num_rows))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(buckets[hit])), pa.ListArray.from_arrays(offsets, pa.array(values[hit]))], names=["grade", "k", "b", "v"])
 
-    found = sampled.mapInArrow(only, "grade int, k long, b array<int>, v array<float>").toArrow().combine_chunks().sort_by("k")
-    lists = [found.column(n).combine_chunks() for n in ("b", "v")]
-    buckets, values = (np.array(x.flatten()) for x in lists)
-    size = np.diff(np.array(lists[0].offsets)) if len(found) else np.zeros(0, np.int64)
-    grades = np.array(found.column("grade"))
-    del found, lists  # the driver holds each figure once
-    return fit(buckets, values, np.concatenate([[0], np.cumsum(size)]), grades, levels)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.table({"grade": [], "k": [], "b": [], "v": []}, rows_schema), *[pa.Table.from_batches([x]).cast(rows_schema) for x in batches]]
+        found = pa.concat_tables(parts).sort_by("k").combine_chunks()
+        lists = [found.column(n).combine_chunks() for n in ("b", "v")]
+        buckets, values = (np.asarray(x.flatten()) for x in lists)
+        first = np.asarray(lists[0].offsets).astype(np.int64) if len(found) else np.zeros(1, np.int64)
+        model = fit(buckets, values, first - first[0], np.asarray(found.column("grade")), levels)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.thresholds.tolist()])], names=["w", "t"])
+
+    rows_schema = pa.schema([("grade", pa.int32()), ("k", pa.int64()), ("b", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))])
+    found = sampled.mapInArrow(only, "grade int, k long, b array<int>, v array<float>").coalesce(1).mapInArrow(fitted, "w binary, t array<double>").first()
+    return OrdinalModel(np.frombuffer(found["w"], np.float32), np.array(found["t"]))
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
