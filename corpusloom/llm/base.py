@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.shipping import ship
 from corpusloom.sources.tables import table
 
-__all__ = ["durable", "partitions", "prepare", "shared_dir", "table"]
+__all__ = ["durable", "partitions", "prepare", "shared_dir", "table", "written"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -40,5 +42,12 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """Like durable, but as Parquet: a third of the bytes where rows are a few numbers. Rows come back in any order."""
+    path = posixpath.join(shared_dir(frame.sparkSession), f"rows-{uuid.uuid4().hex}")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,11 +1,11 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes are kept at content-selected positions only: the least hash of 16 consecutive words in every window of 35
-such hashes. Any 50 words that occur twice hold the same selected position. The suffixes are sorted over the cluster,
-first by the hash of their 16 words, which tells the few that occur twice. A repeat that holds such a seed begins 0 to
-34 words before it, so all suffixes that begin there are sorted again, by two hashes of their first 50 words: suffixes
-that share 50 words or more are neighbours in that one order, whatever other texts have the seed too. A long passage
-is the union of the 50 words of its suffixes.
+such hashes. Any 50 words that occur twice hold the same selected position. Grouping by the hash of these 16 words
+tells the few that occur at two places. A repeat that holds such a seed begins 0 to 34 words before it, so all suffixes
+that begin there are sorted over the cluster, by two hashes of their first 50 words: suffixes that share 50 words or
+more are neighbours in that one order, whatever other texts have the seed too. Matches are extended left and right by
+uniting the 50 words of all suffixes of a text that match, as far as they go on.
 
 Texts that are equal as a whole take part once; their copies are matched as whole texts.
 """
@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.base import durable, partitions, prepare
-from corpusloom.llm.mixing import n_words
+from corpusloom.llm.base import durable, partitions, prepare, written
 from corpusloom.llm.textkit import Words, mix, shingles
 
 SEED, PASSAGE = 16, 50
@@ -62,58 +61,11 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["g", "h", "pos", "doc_id"])
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's first and last rows, marked with the task."""
-    first = last = None
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, h2, n): two hashes of a text and its number of words, of texts of PASSAGE words or more."""
     for batch in batches:
-        if batch.num_rows:
-            first = first or batch.slice(0, 1).to_pylist()[0]
-            last = batch.slice(batch.num_rows - 1, 1).to_pylist()[0]
-    if first:
-        rows = [{"task": TaskContext.get().partitionId(), "last": False} | first, {"task": TaskContext.get().partitionId(), "last": True} | last]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("task", pa.int32()), ("last", pa.bool_()), *[(f.name, f.type) for f in batch.schema]]))
-
-
-def _neighbours(sorted_rows: DataFrame) -> tuple[dict[int, dict], dict[int, dict]]:
-    """For each task of a sorted table the row before its first and the row after its last (two rows a task)."""
-    types = ", ".join(f"{n} {t}" for n, t in sorted_rows.dtypes)
-    rows = sorted_rows.mapInArrow(_ends, f"task int, last boolean, {types}").collect()
-    first = {r["task"]: r.asDict() for r in rows if not r["last"]}
-    last = {r["task"]: r.asDict() for r in rows if r["last"]}
-    tasks = sorted(first)
-    return {b: last[a] for a, b in zip(tasks, tasks[1:])}, {a: first[b] for a, b in zip(tasks, tasks[1:])}
-
-
-def _repeated(before: dict[int, dict], after: dict[int, dict]):
-    """Rows (doc_id, h, pos) whose seed occurs at another place; each place has one row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        past = before[task]["g"] if task in before else None
-        held = None
-
-        def decide(rows, following):
-            g = rows["g"].to_numpy()
-            like = g[1:] == g[:-1]
-            hit = np.concatenate([[past == g[0]], like]) | np.concatenate([like, [following == g[-1]]])
-            return rows.select(["doc_id", "h", "pos"]).filter(pa.array(hit))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:  # a batch's last row waits for what follows it
-                now = pa.concat_batches([held, batch])
-            else:
-                now = batch
-            if now.num_rows > 1:
-                rows = now.slice(0, now.num_rows - 1)
-                yield decide(rows, now["g"][-1].as_py())
-                past = rows["g"][-1].as_py()
-            held = now.slice(now.num_rows - 1)
-        if held is not None:
-            yield decide(held, after[task]["g"] if task in after else None)
-
-    return run
+        n = Words(batch.column(2)).counts()
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(n.astype(np.int32))], names=["doc_id", "h", "h2", "n"]).filter(pa.array(n >= PASSAGE))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +135,7 @@ def _groups_across(sorted_rows: DataFrame) -> tuple[dict[int, tuple], dict[int,
 
 
 def _shared(goes_on: dict[int, tuple], follows: dict[int, int]):
-    """Suffixes whose first PASSAGE words another doc_id has: (doc_id, h, start, end, other_id), other_id the least that
+    """Suffixes whose first PASSAGE words another doc_id has: (doc_id, h, start, other_id), other_id the least that
     has them, for that one the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +157,8 @@ def _shared(goes_on: dict[int, tuple], follows: dict[int, int]):
                 other[-1], known[-1] = last, True
             hit = differs | known[group]
             found = np.where(differs, least[group], other[group])[hit]
-            columns = [pa.array(doc[hit]), pa.array(h[hit]), pa.array(pos[hit].astype(np.int32)), pa.array((pos[hit] + PASSAGE).astype(np.int32)), pa.array(found)]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "start", "end", "other_id"]), (k[-1], c[-1], least[-1])
+            columns = [pa.array(doc[hit]), pa.array(h[hit]), pa.array(pos[hit].astype(np.int32)), pa.array(found)]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "start", "other_id"]), (k[-1], c[-1], least[-1])
 
         for batch in batches:
             now = tuple(x.to_numpy() for x in batch.columns)
@@ -231,19 +183,18 @@ def _shared(goes_on: dict[int, tuple], follows: dict[int, int]):
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlapping or touching spans of a text as one; other_id: the least text it shares."""
-    for batch in batches:
-        out = []
-        for doc, spans, h in zip(*(c.to_pylist() for c in batch.columns)):
-            at = None
-            for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-                if at and s["start"] <= at[2]:
-                    at[2], at[3] = max(at[2], s["end"]), min(at[3], s["other_id"])
-                else:
-                    at = [doc, s["start"], s["end"], s["other_id"], h]
-                    out.append(at)
-        columns = list(zip(*out)) or [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "start_word", "end_word", "other_id", "h"])
+    for batch in (b for b in batches if b.num_rows):
+        lists = batch.column(1)
+        spans = lists.flatten()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+        start, other = (spans.field(n).to_numpy(zero_copy_only=False) for n in ("start", "other_id"))
+        order = np.lexsort((start, row))
+        row, start, other = row[order], start[order], other[order]
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + PASSAGE)]))
+        last = np.append(new[1:], len(row)) - 1
+        own = pa.array(row[new])
+        columns = [batch.column(0).take(own), pa.array(start[new]), pa.array(start[last] + np.int32(PASSAGE)), pa.array(np.minimum.reduceat(other, new)), batch.column(2).take(own)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_word", "end_word", "other_id", "h"])
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -258,24 +209,23 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     prepare(spark)
     n = 2 * partitions(spark)
     given = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("_t"))
-    order = ["g", "h", "pos", "doc_id"]
-    entries = given.mapInArrow(_entries, "g long, h long, pos int, doc_id long")
-    # copies of a place are one row, so that neighbours are other places
-    entries = durable(entries.groupBy("g", "h", "pos").agg(F.min("doc_id").alias("doc_id")))
-    entries = durable(entries.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    before, after = _neighbours(entries)
-    found = entries.mapInArrow(_repeated(before, after), "doc_id long, h long, pos int")
-    positions = found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("_p"))
+    entries = written(given.mapInArrow(_entries, "g long, h long, pos int, doc_id long"))
+    # written, so that both sides of the join are plain exchanges and a seed of many texts can be split
+    place = F.struct("h", "pos")
+    seeds = written(entries.groupBy("g").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low != high").select("g"))
+    # copies of a place are one row: the texts that are equal take part once
+    places = entries.join(seeds, "g").groupBy("h", "pos").agg(F.min("doc_id").alias("doc_id"))
+    positions = places.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("_p"))
     rows = given.join(positions, ["doc_id", "h"]).select("doc_id", "_t", "_p", "h")
     order = ["k", "c", "doc_id", "h", "pos"]
     windows = rows.mapInArrow(_windows, "k long, c long, doc_id long, pos int, h long")
     windows = durable(windows.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    matches = windows.mapInArrow(_shared(*_groups_across(windows)), "doc_id long, h long, start int, end int, other_id long")
-    grouped = matches.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end", "other_id")).alias("_s"))
+    matches = windows.mapInArrow(_shared(*_groups_across(windows)), "doc_id long, h long, start int, other_id long")
+    grouped = matches.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "other_id")).alias("_s"))
     partial = grouped.select("doc_id", "_s", "h").mapInArrow(_union, "doc_id long, start_word int, end_word int, other_id long, h long")
     # whole copies: two hashes of the text, its least and its next doc_id
-    sized = given.select("doc_id", "h", F.xxhash64("_t", F.lit(1)).alias("h2"), n_words(F.col("_t")).cast("int").alias("n")).where(F.col("n") >= PASSAGE)
-    least = durable(sized.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
+    sized = written(given.select("doc_id", "h", "_t", F.xxhash64("_t", F.lit(1)).alias("h2")).mapInArrow(_sized, "doc_id long, h long, h2 long, n int"))
+    least = written(sized.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
     # written first, so that both sides of the join are plain exchanges and a large group of copies can be split
     copies = sized.join(least, ["h", "h2", "n"])
     other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
