@@ -6,6 +6,8 @@ tables of a level are persisted, and a CrawlJob writes them to a folder, so that
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions.web import host
@@ -13,20 +15,22 @@ from corpusloom.functions.web import host
 DEPTH, LIMIT = 1, 10
 
 
-def crawl(seeds: DataFrame, links: DataFrame, pages: DataFrame, depth: int = DEPTH, limit: int = LIMIT, same_host: bool = True) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame | Callable[[DataFrame], DataFrame], pages: DataFrame, depth: int = DEPTH, limit: int = LIMIT, same_host: bool = True) -> DataFrame:
     """(url, level, place) of the pages a breadth-first crawl reaches from seeds (url, in order of place).
 
-    links: (src, pos, dst). `limit` caps the addresses found, seeds included, in the order of their finding; pages
+    links: (src, pos, dst), or a function that reads them from rows of pages; it gets those of a level only. `limit` caps the addresses found, seeds included, in the order of their finding; pages
     that aren't stored are found but not expanded. With same_host, links that leave the source's host aren't followed."""
-    edges = links.where(host(F.col("src")) == host(F.col("dst"))) if same_host else links
     visited = seeds.select("url", F.lit(0).alias("level"), F.col("place").cast("long").alias("place")).orderBy("place").limit(limit)
     frontier = visited
     for level in range(1, depth + 1):
         room = limit - visited.count()
         if room <= 0:
             break
-        read = frontier.join(pages.select("url"), "url", "left_semi")
-        found = edges.join(F.broadcast(read), edges["src"] == read["url"]).select(F.col("dst").alias("url"), "place", "pos")  # at most `limit` rows
+        read = pages.join(F.broadcast(frontier.select("url")), "url", "left_semi")  # at most `limit` addresses
+        edges = links(read) if callable(links) else links.join(F.broadcast(read.select(F.col("url").alias("src")).distinct()), "src", "left_semi")
+        if same_host:
+            edges = edges.where(host(F.col("src")) == host(F.col("dst")))
+        found = edges.join(F.broadcast(frontier.select(F.col("url").alias("src"), "place")), "src").select(F.col("dst").alias("url"), "place", "pos")
         first = found.groupBy("url").agg(F.min(F.struct("place", "pos")).alias("_f")).join(visited, "url", "left_anti")
         new = first.orderBy("_f", "url").limit(room)
         base = limit * level

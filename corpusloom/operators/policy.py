@@ -26,12 +26,11 @@ def parse_robots(robots: DataFrame, agents: tuple[str, ...] = ("*",), host: str
 def robots_allowed(pages: DataFrame, rules: DataFrame, host: str = "host", path: str = "path", key: str = "page_id") -> DataFrame:
     """(key, allowed): the longest pattern that starts the path decides, allow before disallow; none: allowed.
 
-    An equi-join on host and prefix: patterns of one host are few, and a path meets only its own prefixes of their lengths."""
-    lengths = rules.groupBy(host).agg(F.collect_set(F.length("pattern")).alias("_lengths"))
-    probes = pages.select(key, host, path).join(lengths, host).select(key, host, F.explode("_lengths").alias("_n"), F.col(path).alias("_path"))
-    probes = probes.where(F.length("_path") >= F.col("_n")).select(key, host, F.substring(F.col("_path"), F.lit(1), F.col("_n")).alias("pattern"))
-    found = probes.join(rules, [host, "pattern"]).groupBy(key).agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("_allow"))
-    return pages.select(key).join(found, key, "left").select(key, F.coalesce("_allow", F.lit(True)).alias("allowed"))
+    The rules of a host, which its robots.txt bounds, are one row of a small table; a page is decided in its own row."""
+    by_host = rules.groupBy(host).agg(F.collect_set(F.struct(F.length("pattern").alias("n"), "allow", "pattern")).alias("_rules"))
+    joined = pages.select(key, host, path).join(by_host, host, "left")
+    best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col(path), r["pattern"])))
+    return joined.select(key, F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
 
 
 def match_recipes(pages: DataFrame, recipes: DataFrame, host: str = "host", key: str = "page_id") -> DataFrame:

@@ -26,13 +26,15 @@ def checked(requests: DataFrame) -> DataFrame:
 
 def merged(tasks: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     """tasks (id, kind, url, selector, interval_s, enabled, next_run_at, run_count) after requests of the same kind of
-    rows: a known id is updated and keeps its runs and pause, a new one is due at once."""
-    new = requests.select("id", "kind", "url", "selector", "interval_s").dropDuplicates(["id"])
+    rows: a known id is updated and keeps its runs and pause, a new one is due at once. A webhook_url, where tasks have
+    one, is replaced by that of the request, by none if it names none."""
+    hooked = [c for c in ("webhook_url",) if c in tasks.columns]
+    new = requests.select("id", "kind", "url", "selector", "interval_s", *hooked).dropDuplicates(["id"])
     a, b = tasks.alias("a"), new.alias("b")
     both = a.join(b, F.col("a.id") == F.col("b.id"), "full_outer")
     pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
     known = F.col("a.id").isNotNull()
-    return both.select(pick("id"), pick("kind"), pick("url"), F.when(F.col("b.id").isNotNull(), F.col("b.selector")).otherwise(F.col("a.selector")).alias("selector"), pick("interval_s"), F.when(known, F.col("a.enabled")).otherwise(F.lit(True)).alias("enabled"), F.when(known, F.col("a.next_run_at")).otherwise(now).alias("next_run_at"), F.coalesce("a.run_count", F.lit(0)).alias("run_count"))
+    return both.select(pick("id"), pick("kind"), pick("url"), F.when(F.col("b.id").isNotNull(), F.col("b.selector")).otherwise(F.col("a.selector")).alias("selector"), pick("interval_s"), F.when(known, F.col("a.enabled")).otherwise(F.lit(True)).alias("enabled"), F.when(known, F.col("a.next_run_at")).otherwise(now).alias("next_run_at"), F.coalesce("a.run_count", F.lit(0)).alias("run_count"), *[F.when(F.col("b.id").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in hooked])
 
 
 def due(tasks: DataFrame, now: Column) -> DataFrame:

@@ -6,7 +6,9 @@ Snapshots are rows (key, ts, hash, text, ...); the order is that of ts, whatever
 from __future__ import annotations
 
 import difflib
+import json
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -45,13 +47,29 @@ def as_of(snapshots: DataFrame, moments: DataFrame, key: str = "key", ts: str =
     return filled.where("_moment = 1").select(key, at, F.col(f"_last.{ts}").alias(ts), *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
+def moment(text: str) -> float | None:
+    """Seconds of an ISO date or time; without a zone it is UTC. None for anything else."""
+    try:
+        read = datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return (read if read.tzinfo else read.replace(tzinfo=timezone.utc)).timestamp()
+
+
 def resolve(snapshots: DataFrame, target: str = "latest", key: str = "key", ts: str = "ts", tie: str | None = None) -> DataFrame:
-    """One version of each key: latest, prev, or an ordinal from 1; a time goes to as_of."""
+    """One version of each key: latest, prev, an ordinal from 1, or the newest not after an ISO time (ts in seconds).
+
+    version is counted among all of the key's snapshots."""
     name = (target or "latest").strip().lower()
     n = {"latest": 1, "": 1, "prev": 2}.get(name) or (int(name) if name.isdigit() else 0)
-    if n < 1:
-        raise ValueError("latest, prev or an ordinal from 1")
-    return versions(snapshots, key, ts, tie).where(F.col("version") == n)
+    found = versions(snapshots, key, ts, tie)
+    if n > 0:
+        return found.where(F.col("version") == n)
+    at = moment(target)
+    if at is None or name.isdigit():
+        raise ValueError("latest, prev, an ordinal from 1 or an ISO time")
+    least = F.min(F.when(F.col(ts) <= at + TOLERANCE, F.col("version"))).over(Window.partitionBy(key))
+    return found.withColumn("_least", least).where(F.col("version") == F.col("_least")).drop("_least")
 
 
 def changes(snapshots: DataFrame, key: str = "key", ts: str = "ts", tie: str | None = None, digest: str = "hash", chars: str = "chars") -> DataFrame:
@@ -91,46 +109,65 @@ def line_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
     return rows.mapInArrow(run, f"{names}, diff {schema}")
 
 
+def _leaves(value, path: str = "") -> Iterator[tuple[str, str]]:
+    """Paths and JSON texts below an object or array; an array in an array is a leaf, an empty one has none."""
+    inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    for name, x in inner:
+        at = f"{path}[{name}]" if isinstance(value, list) else f"{path}.{name}" if path else name
+        if isinstance(x, dict) or isinstance(x, list) and not isinstance(value, list):
+            yield from _leaves(x, at)
+        else:
+            yield at, json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
 def flatten_json(frame: DataFrame, column: str, *keys: str) -> DataFrame:
-    """(keys, path, value) of every leaf of a JSON text, as items[0].price; value is JSON text. Any depth, level by level."""
-    def opened(rows: DataFrame) -> DataFrame:
-        return rows.select(*keys, "_path", F.col("_v"), F.schema_of_variant("_v").alias("_s"))
-
-    level = frame.select(*keys, F.lit("").alias("_path"), F.try_parse_json(F.col(column)).alias("_v")).where("_v is not null")
-    spark, done = frame.sparkSession, None
-    for depth in range(32):
-        level.createOrReplaceTempView("_loom_level")
-        own = ", ".join(keys) + ", " if keys else ""
-        step = spark.sql(f"""
-            SELECT {own} l._path AS _parent, e.pos, e.key, e.value AS _v, schema_of_variant(e.value) AS _s
-            FROM _loom_level l, LATERAL variant_explode_outer(l._v) e WHERE e.value IS NOT NULL""")
-        dot = F.when(F.col("_parent") == "", F.col("key")).otherwise(F.concat("_parent", F.lit("."), F.col("key")))
-        path = F.when(F.col("key").isNull(), F.concat("_parent", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(dot)
-        step = step.select(*keys, path.alias("_path"), "_v", "_s").persist()
-        nested = F.col("_s").startswith("OBJECT<") | (F.col("_s").startswith("ARRAY<") & ~F.col("_path").endswith("]"))
-        leaves = step.where(~nested).select(*keys, F.col("_path").alias("path"), F.to_json("_v").alias("value"))
-        done = leaves if done is None else done.union(leaves)
-        level = step.where(nested).select(*keys, "_path", "_v")
-        if level.isEmpty():
-            return done
-    raise ValueError("fields are nested too deep")
+    """(keys, path, value) of every leaf of a JSON text, as items[0].price; value is JSON text. Texts that aren't JSON and
+    scalars have no leaves."""
+    ship(frame.sparkSession)
+    at = len(keys)
+
+    def leaves(text: str | None) -> list[tuple[str, str]]:
+        try:
+            return list(_leaves(json.loads(text or "null")))
+        except (ValueError, RecursionError):
+            return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *leaf) for i, text in enumerate(batch.column(at).to_pylist()) for leaf in leaves(text)]
+            row, path, value = zip(*found) if found else [()] * 3
+            own = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:at]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(path, pa.string()), pa.array(value, pa.string())], names=[*keys, "path", "value"])
+
+    kinds = dict(frame.dtypes)
+    return frame.select(*keys, column).mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "path string", "value string"]))
 
 
 def field_changes(previous: DataFrame, current: DataFrame, *keys: str) -> DataFrame:
     """Full outer join of (keys, path, value): kind added, removed or modified, with delta and pct of numbers.
 
-    value is JSON text; true and false aren't numbers. delta has 6 places; pct 1, null on a base of zero."""
+    value is JSON text; true and false aren't numbers, and 1 is no other number than 1.0. delta has 6 places; pct 1, null on
+    a base of zero."""
     on = [*keys, "path"]
     a, b = previous.withColumnRenamed("value", "old").withColumn("_a", F.lit(1)), current.withColumnRenamed("value", "new").withColumn("_b", F.lit(1))
     both = a.join(b, on, "full_outer")
-    kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "modified")
     left, right = F.col("old").try_cast("double"), F.col("new").try_cast("double")
-    numeric = (kind == "modified") & left.isNotNull() & right.isNotNull()
+    numbers = left.isNotNull() & right.isNotNull()
+    same = F.when(numbers, left == right).otherwise(F.col("old").eqNullSafe(F.col("new")))
+    kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~same, "modified")
+    numeric = (kind == "modified") & numbers
     delta = F.when(numeric, F.round(right - left, 6))
     pct = F.when(numeric & (left != 0), F.round((right - left) / F.abs(left) * 100, 1))
     return both.select(*on, kind.alias("kind"), "old", "new", delta.alias("delta"), pct.alias("pct")).where("kind is not null")
 
 
+def first_changes(found: DataFrame, *keys: str, most: int = CHANGES) -> DataFrame:
+    """The first `most` changes of each key by path, with n_changes, the number of all of its changes."""
+    own = Window.partitionBy(*keys)
+    numbered = found.withColumn("n_changes", F.count("*").over(own)).withColumn("_n", F.row_number().over(own.orderBy("path")))
+    return numbered.where(F.col("_n") <= most).drop("_n")
+
+
 def change_line(path: Column, kind: Column, old: Column, new: Column, pct: Column) -> Column:
     """A change as a sentence: price 299→249（-16.7%）."""
     plain = lambda c: F.regexp_replace(c, '^"|"$', "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from corpusloom.functions.text import terms
 from corpusloom.shipping import ship
 
 DIMENSIONS = 256
+QUERIES = 20_000  # sent to all tasks at once
+SCORED = 4_000_000  # likenesses of a task at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,18 +27,61 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank): the k vectors most like each query, ties to the lesser key.
-
-    Exact: queries are sent to all tasks (a stated, small set), each task keeps its k best a query, and only those are
-    shuffled."""
-    asked = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")))
-    scored = vectors.crossJoin(asked).select("query_id", key, F.round(cosine(F.col(vector), F.col("_q")), 9).alias("score"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col(key).alias("k")))), 1, k)
-    local = scored.withColumn("_p", F.spark_partition_id()).groupBy("query_id", "_p").agg(best.alias("_b")).select("query_id", F.explode("_b").alias("_b"))
-    ranked = local.select("query_id", F.col("_b.k").alias(key), (-F.col("_b.minus")).alias("score"))
+def _best(k: int, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, best first, ties to the lesser key."""
+    order = np.lexsort((key, -score, query))
+    query, key, score = query[order], key[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[place < k], key[place < k], score[place < k]
+
+
+def _unit(rows: pa.Array) -> np.ndarray:
+    found = np.stack([np.asarray(x, np.float64) for x in rows.to_numpy(zero_copy_only=False)])
+    size = np.linalg.norm(found, axis=1, keepdims=True)
+    return np.divide(found, size, out=np.zeros_like(found), where=size > 0)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = QUERIES) -> DataFrame:
+    """(query_id, key, score, rank): the k vectors most like each query, ties to the lesser key. Null keys and vectors
+    are left out.
+
+    Exact. Queries are sent to all tasks in blocks of `block`, one pass of the vectors a block. A task scores batches by
+    matrix products, holds k rows a query, and only these are shuffled."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
+
+    def scored(asked: pa.Table) -> DataFrame:
+        ids, unit = np.asarray(asked.column(0)).astype(np.int64), _unit(asked.column(1).combine_chunks())
+        shared = spark.sparkContext.broadcast((ids, unit))  # at most `block` queries
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, unit = shared.value
+            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys, own = np.asarray(batch.column(0)), _unit(batch.column(1))
+                parts = [held]
+                for a in range(0, len(ids), SCORED // batch.num_rows + 1):
+                    score = np.round(unit[a : a + SCORED // batch.num_rows + 1] @ own.T, 9)
+                    least = np.partition(score, -k, axis=1)[:, -k, None] if batch.num_rows > k else -np.inf
+                    query, at = np.nonzero(score >= least)
+                    parts.append((query + a, keys[at], score[query, at]))
+                held = _best(k, *(np.concatenate(x) for x in zip(*parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", key, "score"])
+
+        return rows.mapInArrow(run, f"query_id long, `{key}` long, score double")
+
+    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).orderBy(key)
+    kind = pa.schema([(key, pa.int64()), (vector, pa.list_(pa.float64()))])
+    found = spark.createDataFrame([], f"query_id long, `{key}` long, score double")
+    stream = asked.toLocalIterator()
+    while held := list(islice(stream, block)):
+        found = found.union(scored(pa.Table.from_pylist([{key: r[0], vector: r[1]} for r in held], kind)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def hash_embedding(frame: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:

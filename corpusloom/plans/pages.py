@@ -39,12 +39,21 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_table(spread(table(spark, sf_dir, "pages")))
 
 
+SQL["page_links"] = r"""WITH h AS (SELECT url, regexp_extract(url, '^https?://[^/]+') AS base, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hs FROM pages),
+l AS (SELECT url, base || unnest(hs) AS dst, generate_subscripts(hs, 1) AS i FROM h), f AS (SELECT url, dst, min(i) AS i FROM l GROUP BY ALL)
+SELECT url AS src, (row_number() OVER (PARTITION BY url ORDER BY i) - 1)::INT AS pos, dst FROM f QUALIFY pos < 200"""
+
+
 @query
 def page_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = parse_pages(spread(table(spark, sf_dir, "pages")), Request("interactions"), "url", "html", "page_id")
     return found.select("page_id", F.size("interactions.elements").alias("n_elements"), F.size("interactions.forms").alias("n_forms"), F.size("interactions.next").alias("n_next"), "error")
 
 
+#: The stored pages have no forms and no links onward; every anchor has a path of its own.
+SQL["page_interactions"] = r"SELECT page_id, least(len(regexp_extract_all(html, '<a\s[^>]*href=')), 120)::INT AS n_elements, len(regexp_extract_all(html, '<form[\s>]'))::INT AS n_forms, 0 AS n_next, NULL::VARCHAR AS error FROM pages"
+
+
 @query
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared fields, where they stand, and what comes near those that are missing."""
@@ -52,6 +61,12 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "fields.data.title", "fields.data.first", F.size("fields.data.links").alias("n_links"), F.size("fields.required_missing").alias("n_missing"), F.size("grounding").alias("n_grounded"), "error")
 
 
+#: Each anchor's number of b elements is grounded, and title, heading and first link where they are.
+SQL["page_fields"] = r"""WITH h AS (SELECT *, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hs, len(regexp_extract_all(html, '<h1[\s>]')) AS heads FROM pages)
+SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, CASE WHEN len(hs) > 0 THEN regexp_extract(url, '^https?://[^/]+') || hs[1] END AS first, CASE WHEN len(hs) > 0 THEN len(hs)::INT END AS n_links,
+  (CASE WHEN heads = 0 THEN 1 ELSE 0 END) AS n_missing, (2 + len(hs) + CASE WHEN len(hs) > 0 THEN 1 ELSE 0 END)::INT AS n_grounded, NULL::VARCHAR AS error FROM h"""
+
+
 @query
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = {"anchors": {"selector": "a[href]", "type": "count"}, "paragraphs": {"selector": "p", "type": "count"}}
@@ -96,7 +111,14 @@ def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of two levels from the first pages, over stored links."""
     pages = table(spark, sf_dir, "pages")
     seeds = pages.orderBy("page_id").limit(5).select("url", F.col("page_id").alias("place"))
-    return graph.crawl(seeds, link_table(pages), pages, depth=2, limit=100)
+    return graph.crawl(seeds, link_table, pages, depth=2, limit=100)
+
+
+SQL["site_crawl"] = r"""WITH seeds AS (SELECT url, page_id AS place FROM pages ORDER BY page_id LIMIT 5),
+h AS (SELECT url, regexp_extract(url, '^https?://[^/]+') AS base, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hs FROM pages), l AS (SELECT url AS src, base || unnest(hs) AS dst, generate_subscripts(hs, 1) AS i FROM h),
+a AS (SELECT dst AS url, min((place, i)) AS f FROM l JOIN seeds ON src = url WHERE dst NOT IN (SELECT url FROM seeds) GROUP BY dst ORDER BY f, dst LIMIT 95), one AS (SELECT url, 100 + row_number() OVER (ORDER BY f, url) AS place FROM a),
+b AS (SELECT dst AS url, min((place, i)) AS f FROM l JOIN one ON src = url WHERE dst NOT IN (SELECT url FROM seeds UNION SELECT url FROM one) GROUP BY dst ORDER BY f, dst LIMIT 95), two AS (SELECT url, 200 + row_number() OVER (ORDER BY f, url) AS place FROM b)
+SELECT url, 0 AS level, place::BIGINT AS place FROM seeds UNION ALL SELECT url, 1, place FROM one UNION ALL SELECT url, 2, place FROM two"""
 
 
 @query

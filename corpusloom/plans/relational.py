@@ -35,15 +35,19 @@ TOKENS = rf"""CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, floor(le
 
 @query(f"SELECT doc_id, {TOKENS} AS tokens FROM documents")
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(f"""SELECT lang, source, count(*) AS docs, sum({TOKENS})::BIGINT AS tokens, max(n_chars) AS longest, count(DISTINCT text) AS distinct_texts
 FROM documents GROUP BY lang, source""")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the corpus by language and source."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang", "source").agg(F.count("*").alias("docs"), F.sum(text.token_estimate(F.col("text"))).alias("tokens"), F.max("n_chars").alias("longest"), F.countDistinct("text").alias("distinct_texts"))
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "source", "n_chars", "text"))
+    # texts are told apart by 128 bits, so that no text is shuffled to be counted
+    digest = F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))))
+    sized = docs.select("lang", "source", "n_chars", text.token_estimate(F.col("text")).alias("_n"), digest.alias("_d"))
+    same = sized.groupBy("lang", "source", "_d").agg(F.count("*").alias("docs"), F.sum("_n").alias("_n"), F.max("n_chars").alias("longest"))
+    return same.groupBy("lang", "source").agg(F.sum("docs").alias("docs"), F.sum("_n").alias("tokens"), F.max("longest").alias("longest"), F.count("_d").alias("distinct_texts"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_]+'))::INT AS n_terms, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')))::INT AS n_distinct FROM documents")
