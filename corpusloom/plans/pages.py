@@ -63,7 +63,7 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Each anchor's number of b elements is grounded, and title, heading and first link where they are.
 SQL["page_fields"] = r"""WITH h AS (SELECT *, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hs, len(regexp_extract_all(html, '<h1[\s>]')) AS heads FROM pages)
-SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, CASE WHEN len(hs) > 0 THEN regexp_extract(url, '^https?://[^/]+') || hs[1] END AS first, CASE WHEN len(hs) > 0 THEN len(hs)::INT END AS n_links,
+SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, CASE WHEN len(hs) > 0 THEN regexp_extract(url, '^https?://[^/]+') || hs[1] END AS first, CASE WHEN len(hs) > 0 THEN len(hs)::INT END AS n_links,
   (CASE WHEN heads = 0 THEN 1 ELSE 0 END) AS n_missing, (2 + len(hs) + CASE WHEN len(hs) > 0 THEN 1 ELSE 0 END)::INT AS n_grounded, NULL::VARCHAR AS error FROM h"""
 
 
