@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ def folder(spark, tmp_path_factory):
     vocabulary = [f"w{i}" for i in range(300)]
     text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
     items = [text(30) for _ in range(3)]
-    docs = [(i, text(rnd.randint(20, 90)), "en", f"s{i % 4}") for i in range(150)]
+    docs = [(i, text(rnd.randint(60, 120)), "en", f"s{i % 4}") for i in range(150)]
     docs += [(200 + i, docs[i][1], "en", "s0") for i in range(20)]
     docs += [(300 + i, f"{text(20)} {items[i % 3]} {text(20)}", "en", "s1") for i in range(9)]
     docs += [(400 + i, text(30) + " vile" * 12, "en", "s2") for i in range(30)]
+    near = [d[1].split() for d in docs[20:35]]  # a word less at the end, and one changed
+    docs += [(600 + i, " ".join(["first", *w[1:-1]]), "en", "s2") for i, w in enumerate(near)]
     docs += [(500, None, None, None), (None, text(50), "en", "s3"), docs[0]]
     labels = [(d[0], 1, 0) for d in docs[:100]] + [(400 + i, 1, 1) for i in range(20)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{top}/documents.parquet")
@@ -41,10 +45,12 @@ def test_stages_take_effect_in_turn(spark, folder):
         if name == "quality":
             assert not ids & set(range(400, 430)) and len(ids & set(range(150))) > 140
         if name == "simhash":
-            fps = {r["doc_id"]: simhash.fingerprint(r["text"], 5) for r in before}
-            kept = [fps[i] for i in ids]
-            assert all((a ^ b).bit_count() > 4 for k, a in enumerate(kept) for b in kept[:k])
-            assert all(any((fps[i] ^ k).bit_count() <= 4 for k in kept) for i in fps)
+            fps = dict(zip((r["doc_id"] for r in before), simhash.wide_fingerprints(pa.array([r["text"] for r in before]))))
+            apart = lambda x, y: int(np.bitwise_count(x ^ y).sum())
+            kept = [fps[r["doc_id"]] for r in after]
+            assert all(apart(a, b) > simhash.WIDE_RADIUS for k, a in enumerate(kept) for b in kept[:k])
+            assert all(any(apart(f, k) <= simhash.WIDE_RADIUS for k in kept) for f in fps.values())
+            assert not ids & set(range(600, 615)) and set(range(20, 35)) <= ids
         if name == "decontaminate":
             assert {r["doc_id"] for r in before} - ids == {r["doc_id"] for r in before if any(x in (r["text"] or "") for x in benchmark)}
         if name == "mix":
