@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.llm.base import written
+
 RANGES = 1024
 
 
@@ -86,7 +88,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, share: float = 1.5, cap: f
     whole = F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map" not in t and "variant" not in t])
     key = F.md5(F.concat_ws("/", docs["doc_id"].cast("string"), docs["text"]))
     slim = docs.select(docs["doc_id"], docs["source"], n_words(docs["text"]).alias("size"), key.alias("key"), whole.alias("row_hash"))
-    rated = slim.join(label_weights(labels), "doc_id", "left")
+    rated = written(slim.join(label_weights(labels), "doc_id", "left"))  # texts are read once
     return mix_sources(rated, share, cap, weights, quality="quality_weight", key="key", also=("row_hash",))
 
 
