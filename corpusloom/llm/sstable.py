@@ -186,8 +186,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, text: str = "text"
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": task, "path": uri, "n_docs": len(writer.hashes), "n_tokens": writer.tokens}], MANIFEST)
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("_t"))
-    ranges = slim.repartitionByRange(shards or 2 * partitions(spark), "doc_id").sortWithinPartitions("doc_id", "_t")
+    # rows of one or of no doc_id lie in the order of a hash of their text, and are cut over ranges by it
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].alias("_t"), F.xxhash64(docs[text]).alias("_h"))
+    ranges = slim.repartitionByRange(shards or 2 * partitions(spark), "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "_t")
     manifest = durable(ranges.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
