@@ -224,7 +224,7 @@ def find(texts: pa.Array, items: Items) -> list[tuple[int, object, int, int, int
     hashes = found.hashes()
     if not len(hashes) or not items.ids:
         return []
-    parts = [x for c in candidates(hashes, found.first, items) for x in verified(hashes, found.first, items, *c)]
+    parts = [x for c in candidates(hashes, found.first, items) for x in verified(hashes, found.first, items, *c) if len(x[0])]
     if not parts:
         return []
     doc, item, edits, start, end = (np.concatenate(x) for x in zip(*parts))

@@ -173,6 +173,14 @@ def test_items_of_one_template_cost_no_more_than_their_number():
     assert 5 in {r[1] for r in decontaminate.find(pa.array([text]), decontaminate.index(list(range(2000)), items))}
 
 
+def test_candidates_that_all_fail_the_edit_distance_give_nothing():
+    item = [f"i{k}" for k in range(12)]
+    index = decontaminate.index([1], [" ".join(item)])
+    turned = " ".join([*item[:3], *reversed(item[3:])])
+    assert decontaminate.find(pa.array([turned, None, "i0"]), index) == []
+    assert len(list(decontaminate.candidates(Words(pa.array([turned])).hashes(), np.array([0, 12]), index))) == 1
+
+
 def test_clean_documents_decides_by_row(spark):
     rnd = random.Random(5)
     item = words(rnd, 20)
