@@ -215,7 +215,8 @@ def verified(hashes: np.ndarray, first: np.ndarray, items: Items, doc: np.ndarra
             cost, s, e = edit_distances(words, np.where(inside[rest], region[rest], ~words[:, :1]))
             near = (cost <= k) & (e > s)
             chosen = rest[near]
-            yield d[chosen], i[chosen], cost[near], begin[chosen] + s[near], begin[chosen] + e[near]
+            low, high = first[d[chosen]], first[d[chosen] + 1]  # words beyond the text, put for words it lacks, aren't its own
+            yield d[chosen], i[chosen], cost[near], np.maximum(begin[chosen] + s[near], low), np.minimum(begin[chosen] + e[near], high)
 
 
 def find(texts: pa.Array, items: Items) -> list[tuple[int, object, int, int, int, int]]:

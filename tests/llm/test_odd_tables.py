@@ -146,6 +146,14 @@ def test_leaks_are_those_of_all_windows(spark):
     frame = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
     found = decontaminate.contaminated(frame, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): r["edits"] for r in found} == expected
+    for r in found:  # the span is the text's own and within the edits
+        own = " ".join(texts[r["doc_id"]])[r["start_byte"] : r["end_byte"]].split()
+        assert plain_edit_distance(items[r["item_id"]], own) == r["edits"]
+
+
+def test_a_text_shorter_than_the_item_has_a_span_of_its_own():
+    found = decontaminate.find(pa.array(["x y", "v " * 13]), decontaminate.index([1], ["v " * 14]))
+    assert found == [(1, 1, 1, 14, 0, 25)]
 
 
 @pytest.mark.parametrize("n", [10, 15, 30, 60])
