@@ -94,8 +94,8 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", k: int = K) -> Data
     """For every row of docs, by ascending doc_id: its own sketch, that of its edited text, and likenesses.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts count
-    as empty. Null ids come first; rows that repeat a doc_id follow each other by text. After the last row comes the
-    first, so a table of one row edits it with itself. An empty table gives an empty result."""
+    as empty. Null ids come first; rows that repeat a doc_id follow each other by a hash of their text, and are spread over
+    tasks by it. After the last row comes the first, so a table of one row edits it with itself. An empty table gives an empty result."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
