@@ -11,6 +11,15 @@ from corpusloom.html.pages import Request, link_table, parse_pages
 from corpusloom.operators import chunks, excerpts, graph, schedule, snapshots, vectors
 from corpusloom.sources.tables import spread, table
 
+WIDE = r"[\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}]"
+
+
+def tokens_sql(text: str) -> str:
+    """text.token_estimate of a text that isn't empty, in DuckDB."""
+    wide = f"len(regexp_extract_all({text}, '{WIDE}'))"
+    return f"greatest(1, floor({wide} + (length(regexp_replace({text}, '\\s+', '', 'g')) - {wide}) / 4.0)::INT)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SCHEMA = {
@@ -82,6 +91,15 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", chunks.SIZE, chunks.OVERLAP, "doc_id")
 
 
+#: The stored documents have no headings or code fences, so a document is one section.
+SQL["document_chunks"] = rf"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS pos, NULL::BIGINT AS upto, 0 AS turn FROM documents WHERE regexp_matches(text, '\S') UNION ALL SELECT doc_id, text, nxt, e.upto, turn + 1 FROM (
+  SELECT *, CASE WHEN turn = 0 THEN 0 ELSE greatest(upto - 200, pos + 1) END AS nxt FROM w WHERE turn = 0 OR upto < length(text)) p, LATERAL (SELECT strpos(reverse(substr(text, nxt + 601, 600)), chr(10)) AS back) b, LATERAL (
+  SELECT CASE WHEN nxt + 1200 >= length(text) THEN length(text) WHEN back > 0 THEN nxt + 1201 - back ELSE nxt + 1200 END AS upto) e),
+c AS (SELECT doc_id, turn, pos, substr(text, pos + 1, upto - pos) AS piece FROM w WHERE turn > 0), b AS (SELECT *, regexp_replace(piece, '^\s+', '') AS tail, trim(regexp_replace(piece, '^\s+|\s+$', '', 'g')) AS bare FROM c),
+f AS (SELECT *, pos + length(piece) - length(tail) AS first FROM b WHERE bare <> '')
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1)::INT AS index, bare AS text, []::VARCHAR[] AS heading_path, first::INT AS start, (first + length(bare))::INT AS "end", {tokens_sql("bare")} AS tokens FROM f"""
+
+
 @query
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each document and whether each is where it says."""
@@ -106,6 +124,16 @@ def truncated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "truncated", "tokens", F.md5("content").alias("digest"))
 
 
+#: 350 tokens of the head's lines and 125 of the tail's stay.
+SQL["truncated_documents"] = rf"""WITH t AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {tokens_sql("text")} END AS total, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS k FROM t WHERE total > 500 AND len(lines) >= 3), c AS (SELECT *, {tokens_sql("line")} + 1 AS cost FROM l),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY doc_id ORDER BY i) <= 350 AS early, sum(cost) OVER (PARTITION BY doc_id ORDER BY i DESC) <= 125 AS late FROM c), n AS (SELECT *, count(*) FILTER (early) OVER (PARTITION BY doc_id) AS heads FROM s),
+m AS (SELECT *, late AND i > heads + 1 AS kept, count(*) FILTER (late AND i > heads + 1) OVER (PARTITION BY doc_id) AS tails FROM n),
+j AS (SELECT doc_id, concat_ws(chr(10), CASE WHEN max(heads) = 0 THEN left(min_by(line, i), 1050) ELSE string_agg(line, chr(10) ORDER BY i) FILTER (early) END, CASE WHEN max(k - greatest(heads, 1) - tails) > 0 THEN '…(省略 ' || max(k - greatest(heads, 1) - tails) || ' 段)…' END, string_agg(line, chr(10) ORDER BY i) FILTER (kept)) AS content FROM m GROUP BY doc_id),
+o AS (SELECT doc_id, total > 500 AS truncated, total, CASE WHEN total <= 500 THEN coalesce(text, '') WHEN len(lines) < 3 THEN left(text, 2000) || chr(10) || '…(已截断)…' ELSE content END AS content FROM t LEFT JOIN j USING (doc_id))
+SELECT doc_id, truncated, CASE WHEN truncated THEN {tokens_sql("content")} ELSE total END AS tokens, md5(content) AS digest FROM o"""
+
+
 @query
 def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of two levels from the first pages, over stored links."""
