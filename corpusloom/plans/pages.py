@@ -118,6 +118,22 @@ def document_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "end", "score")
 
 
+def _weight(i: int) -> str:
+    idf = f"ln(1 + (total - d{i} + 0.5) / (d{i} + 0.5))"
+    return f"CASE WHEN t{i} > 0 THEN {idf} * t{i} * 2.5 / (t{i} + 1.5 * (0.25 + 0.75 * n / CASE WHEN average > 0 THEN average ELSE 1 END)) ELSE 0 END"
+
+
+#: The stored documents have no headings, so blocks lie between blank lines.
+SQL["document_excerpts"] = rf"""WITH l AS (SELECT doc_id, text AS content, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+g AS (SELECT *, regexp_matches(line, '^\s*$') AS blank, count(*) FILTER (regexp_matches(line, '^\s*$')) OVER o AS turn, sum(length(line) + 1) OVER o - length(line) - 1 AS pos FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, any_value(content) AS content, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS block, min(pos)::BIGINT AS pos FROM g WHERE NOT blank GROUP BY doc_id, turn),
+w AS (SELECT *, regexp_extract_all(lower(block), '[a-z0-9_]+') AS words FROM b WHERE length(block) >= 4),
+t AS (SELECT *, len(words) AS n, {", ".join(f"len(list_filter(words, lambda x: x = '{x}')) AS t{i}" for i, x in enumerate(("the", "license", "ouble")))} FROM w),
+k AS (SELECT *, count(*) OVER d AS total, avg(n) OVER d AS average, {", ".join(f"count(*) FILTER (t{i} > 0) OVER d AS d{i}" for i in range(3))} FROM t WINDOW d AS (PARTITION BY doc_id)),
+s AS (SELECT *, {" + ".join(_weight(i) for i in range(3))} AS score FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS place FROM s)
+SELECT doc_id, (pos + strpos(substr(content, pos + 1), block) - 1)::INT AS start, (pos + strpos(substr(content, pos + 1), block) - 1 + least(length(block), 600))::INT AS "end", round(score, 4) AS score FROM r WHERE place <= 3 AND score > 0"""
+
+
 @query
 def truncated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks.truncate_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", 500)
