@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontaminate, linededup, mixing, quality, separators, sharding, simhash, sketches, sstable, suffixes
+from corpusloom.llm import audit, decontaminate, linededup, mixing, quality, separators, sharding, simhash, sketches, sstable, suffixes
 from corpusloom.llm.base import table
 
 
@@ -63,12 +63,41 @@ def op10_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_consistent_hash_shards, op2_suffix_repeats, op3_benchmark_leaks, op4_ordinal_quality, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables)}
+    found = {f.__name__: f for f in (op1_consistent_hash_shards, op2_suffix_repeats, op3_benchmark_leaks, op4_ordinal_quality, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables, op13_filter_audit)}
     return found
 
 
 SQL = {
+    "op13_filter_audit": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+              + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+              + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+              + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+         FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order, applied) AS (SELECT '', 0 UNION ALL SELECT filter_order || letter, applied | bit FROM orders, f WHERE applied & bit = 0),
+steps AS (SELECT filter_order, k AS step, letter, bit, (SELECT coalesce(sum(g.bit), 0) FROM f g WHERE contains(substring(filter_order, 1, k - 1), g.letter))::INT AS before
+          FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS k FROM orders WHERE applied = 31) o, f WHERE f.letter = substring(filter_order, k, 1)),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM docs GROUP BY part, mask),
+found AS (SELECT part, filter_order, step, letter,
+                 coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+          FROM cells, steps GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, letter, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM found""",
     "op5_weighted_mix": r"""
 WITH rated AS (SELECT doc_id, max(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS w
                FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
