@@ -3,8 +3,10 @@
 A document's score for an item is the inner product of two vectors of whole numbers: the item's holds how often each
 term is in it times the term's weight, the document's holds the saturated counts of its terms. Coordinates outside the
 items' own terms add nothing, so documents are projected on these. Each task builds ball trees over blocks of its
-documents: a node is a sparse centroid and a radius, so that no score below it exceeds `q . c + |q| r`. Both are rounded
-outwards by more than what their floating-point sums can be off. Nodes are visited in the order of that bound until
+documents: a node is a sparse centroid c, a radius r about it and a radius for each of its terms (how far the term's values
+reach beyond the centroid's), so that no score below it exceeds `q . c + min(|q| r, q . reach)`. The radius alone prunes
+little among long texts of many terms, which all lie far from their centroid; those by term are sums of one-term balls.
+Bounds are rounded outwards by more than what their floating-point sums can be off. Nodes are visited in the order of that bound until
 it falls below the k-th best score so far, which goes on from tree to tree within a task; leaves are scored in integers.
 Each task returns k rows an item at most, and these are ranked over the cluster.
 """
@@ -28,7 +30,7 @@ APART = NONE.copy()  # bytes that stand in no term: ASCII but for digits and let
 APART[[b for b in range(128) if not chr(b).isalnum()]] = True
 BLOCK_POINTS = 8192  # documents under one tree
 BLOCK_ENTRIES = 2_000_000  # and their terms
-LEAF = 64
+LEAF = 32
 UNIT = 2.0**-52  # of double rounding
 
 
@@ -82,7 +84,7 @@ class BallTree:
         self.width = width
         sizes, order, self.nodes = np.diff(first), [], []
         norms = np.add.reduceat(value.astype(float) ** 2, first[:-1]) if len(sizes) else np.zeros(0)
-        centre_terms, centre_values, self.radius = [], [], []
+        centre_terms, centre_values, centre_reach, self.radius = [], [], [], []
 
         def entries(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Positions of the entries of points, and where each point's begin."""
@@ -110,6 +112,9 @@ class BallTree:
             self.radius.append(math.sqrt(max(float((off + slack).max()), 0.0)) * (1 + 8 * UNIT))
             centre_terms.append(used)
             centre_values.append(centre[used])
+            top = np.zeros(width)
+            np.maximum.at(top, term[at], value[at])
+            centre_reach.append(top[used] - centre[used])
             if len(points) > leaf and off.max() > slack.max():
                 far = points[int(off.argmax())]
                 dense[:] = 0
@@ -127,15 +132,17 @@ class BallTree:
         self.first, self.term, self.value = np.append(begin, len(at)), term[at], value[at]
         self.radius = np.array(self.radius)
         self.centre_first = np.cumsum([0, *map(len, centre_terms)])[:-1]
-        self.centre_term, self.centre_value = (np.concatenate(x) if x else np.zeros(0) for x in (centre_terms, centre_values))
+        self.centre_term, self.centre_value, self.centre_reach = (np.concatenate(x) if x else np.zeros(0) for x in (centre_terms, centre_values, centre_reach))
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For each node a number that no score below it exceeds."""
         dense = np.zeros(self.width)
         dense[terms] = weights
-        near = np.add.reduceat(dense[self.centre_term] * self.centre_value, self.centre_first)
-        reach = math.sqrt(float(np.square(weights.astype(float)).sum())) * self.radius
-        return (near + reach) * (1 + 8 * UNIT * (self.width + 64))
+        own = dense[self.centre_term]
+        near = np.add.reduceat(own * self.centre_value, self.centre_first)
+        reach = np.add.reduceat(own * self.centre_reach, self.centre_first)
+        around = math.sqrt(float(np.square(weights.astype(float)).sum())) * self.radius
+        return (near + np.minimum(around, reach)) * (1 + 8 * UNIT * (self.width + 64))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, take, limit) -> int:
         """Scores points best node first. take(points, scores) is told of a leaf; limit() is the least score of use.
