@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import audit, decontaminate, lexical, linededup, mixing, quality, separators, sharding, simhash, sketches, sstable, suffixes
+from corpusloom.llm import audit, decontaminate, lexical, linededup, mixing, packing, quality, separators, sharding, simhash, sketches, sstable, suffixes
 from corpusloom.llm.base import table
 
 
@@ -63,6 +63,10 @@ def op10_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
 def op12_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,7 +76,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_consistent_hash_shards, op2_suffix_repeats, op3_benchmark_leaks, op4_ordinal_quality, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables, op12_ball_tree_search, op13_filter_audit)}
+    found = {f.__name__: f for f in (op1_consistent_hash_shards, op2_suffix_repeats, op3_benchmark_leaks, op4_ordinal_quality, op5_weighted_mix, op6_simhash_components, op7_line_dedup, op8_bottom_k, op9_separator_scan, op10_token_sstables, op11_best_fit_packing, op12_ball_tree_search, op13_filter_audit)}
     return found
 
 

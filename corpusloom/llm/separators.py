@@ -22,7 +22,9 @@ BLOCK_TOKENS = 1 << 21
 
 
 def write_flat(docs: DataFrame, path: str, end_id: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Encode docs to one flat file of 16-bit ids per task: files (file, path, n_tokens) and order (file, ordinal, doc_id)."""
+    """Encode docs to one flat file of 16-bit ids per task: files (file, path, n_tokens) and order (file, ordinal, doc_id).
+
+    Strings of special tokens in a text are ordinary text, so that no document holds the end id."""
     spark = docs.sparkSession
     prepare(spark)
     folder = files.fresh(shared_dir(spark), "flat")
@@ -39,7 +41,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, text: str = "text") -> t
             if batch.num_rows and sink is None:
                 system, where = files.at(uri)
                 sink = system.open_output_stream(where)
-            for ids in encoder(path).encode_each(batch.column(1)):
+            for ids in encoder(path, plain=True).encode_each(batch.column(1)):
                 sink.write(ids + end)
                 written += len(ids) // 2 + 1
             yield rows(None, range(ordinal, ordinal + batch.num_rows), batch.column(0).to_pylist(), None)
