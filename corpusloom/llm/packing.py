@@ -26,6 +26,7 @@ from corpusloom.llm.base import durable, partitions, prepare, written
 from corpusloom.llm.tokens import encoder
 
 FAN_IN = 8
+PART_PIECES = 8192  # the more pieces a partition has, the fuller its bins
 BIN = 1 << 32  # a bin's number is its partition's times this, and its own in it
 
 
@@ -141,7 +142,7 @@ def pack(found: DataFrame, capacity: int = 4096, fan_in: int = FAN_IN, parts: in
     keep theirs, whatever these are; an empty table gives an empty result."""
     spark = found.sparkSession
     prepare(spark)
-    parts = parts or 2 * partitions(spark)
+    parts = parts or max(1, min(2 * partitions(spark), found.count() // PART_PIECES))
     kept = [(i, c) for i, c in enumerate(found.columns) if c not in (sequence, offset)]
     at = found.columns.index(length)
     plain = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
