@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.shipping import ship
 from corpusloom.sources.tables import table
 
-__all__ = ["durable", "partitions", "prepare", "shared_dir", "table", "written"]
+__all__ = ["any_names", "durable", "partitions", "prepare", "shared_dir", "table", "written"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -51,3 +53,23 @@ def written(frame: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def any_names(*used: str) -> Callable:
+    """For operators that pass the columns of docs, their first argument, on: lets these have any names.
+
+    Columns that the operator doesn't use by name (`used`, and strings that it is given) have plain ones meanwhile."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *rest, **named) -> DataFrame:
+            names = docs.columns
+            known = {*used, *(x for x in (*rest, *named.values()) if isinstance(x, str))}
+            plain = [name if name in known and names.index(name) == i else f"c{i}_" for i, name in enumerate(names)]
+            back = dict(zip(plain, names))
+            found = operator(docs.toDF(*plain), *rest, **named)
+            return found.toDF(*[back.get(name, name) for name in found.columns])
+
+        return run
+
+    return wrap

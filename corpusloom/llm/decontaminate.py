@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.base import prepare
+from corpusloom.llm.base import any_names, prepare
 from corpusloom.llm.quality import _SIGN
 from corpusloom.llm.textkit import Words, mix
 
@@ -276,6 +276,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", bloc
     return result
 
 
+@any_names("text")
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs whose text holds no benchmark item; each row is decided by its own text, whatever its doc_id."""
     spark = docs.sparkSession

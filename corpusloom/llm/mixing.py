@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.base import written
+from corpusloom.llm.base import any_names, written
 
 RANGES = 1024
 
@@ -92,6 +92,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, share: float = 1.5, cap: f
     return mix_sources(rated, share, cap, weights, quality="quality_weight", key="key", also=("row_hash",))
 
 
+@any_names("doc_id", "text", "source")
 def mixed_corpus(docs: DataFrame, labels: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """docs as often as the mix takes them: 0 to cap times. Columns as in docs, whatever their names; rows are told apart
     by doc_id and a hash of all columns, and rows that are equal in all share a fate, the best of theirs."""

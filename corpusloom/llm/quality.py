@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.base import durable, prepare
+from corpusloom.llm.base import any_names, durable, prepare
 from corpusloom.llm.textkit import Words
 
 BUCKETS = 1 << 18
@@ -231,7 +231,15 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
     return docs.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double")
 
 
+@any_names("doc_id", "text", "expected_grade", "tail_probability")
 def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents whose probability of the highest grade is at least `least`, with both figures."""
+    """The documents whose probability of the highest grade is at least `least`, with both figures, which replace columns of
+    these names."""
     model = train(docs, labels.select("doc_id", grade_of().alias("grade")), sample_rows)
     return score(docs, model).where(F.col("tail_probability") >= least)
+
+
+@any_names("doc_id", "text")
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Those rows of docs, with their own columns alone, whatever these are called."""
+    return select_good(docs, labels, least, sample_rows).select(*docs.columns)

@@ -18,6 +18,8 @@ from hashlib import blake2b
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.llm.base import any_names
+
 CELLS = 1 << 20
 BLOCKS = 1 << 12
 SALTS = 16
@@ -83,6 +85,7 @@ def settle(arcs: list[int], owners: list[int], capacity: list[int]) -> list[tupl
     return sorted(taken)
 
 
+@any_names("doc_id", "shard", "slot")
 def assign_shards(docs: DataFrame, n_shards: int = 40, replicas: int = 128, headroom: float = 0.0, key: str = "doc_id", shard: str = "shard", slot: str = "slot") -> DataFrame:
     """docs with two more columns: shard (0 to n_shards - 1) and slot (gapless from 0 within a shard).
 

@@ -8,8 +8,10 @@ tested, then the Hamming distance itself.
 `links` is complete: the fields form `radius + kept` blocks; embeddings within Manhattan distance `radius` differ in at
 most `radius` blocks, so they share the cell of at least one choice of `kept` blocks. More blocks are kept the more
 points there are, so that cells of unrelated points stay small.
-`wide_links` is for radii at which that takes too many grids: fingerprints of 256 bits, grids of fields chosen at random,
-as many as reach a recall that is asked for.
+`wide_links` is for radii at which that takes too many grids: fingerprints of 256 bits in two levels of grids whose fields
+are chosen at random. The first level's cells are what a task takes at once, some thousand points; within each, a second
+level finds the pairs without another shuffle. Each level has as many grids as find a pair at the radius itself with the
+recall asked for, for any number of points, closer pairs more surely.
 
 Equal fingerprints are one point, so groups of copies cost nothing. A cell with more than `cell_rows` points is
 cut in chunks, and pairs of chunks are compared by different tasks; a comparison returns a spanning forest of its
@@ -27,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.base import durable, partitions, prepare
+from corpusloom.llm.base import any_names, durable, partitions, prepare
 from corpusloom.llm.components import components
 from corpusloom.llm.textkit import Words, mix, shingles
 
@@ -35,8 +37,9 @@ FIELD = 0x5555555555555555
 CELL_ROWS = 2048
 FIELD_BITS = 1.5  # what a field tells of a random fingerprint
 WIDE = 4  # words of a wide fingerprint
-WIDE_RADIUS = 40  # of 256 bits: what texts of similarity 0.8 differ in, 0.15 a bit
-WIDE_SHARE = 0.104  # of bits in which texts of similarity 0.9 differ
+WIDE_RADIUS = 46  # of 256 bits: texts of similarity 0.8 differ in 39 of these on average, and in 46 or fewer nine times of ten
+WIDE_RECALL = 0.92  # at the radius
+SUBCELL = 64  # unrelated points that meet in a cell of the second level
 SHINGLES = 1 << 15  # whose bits are counted together
 
 
@@ -141,25 +144,70 @@ def masks(radius: int, kept: int = 3) -> list[list[int]]:
     return [[sum(choice)] for choice in combinations(blocks, kept)]
 
 
-def random_masks(points: int, recall: float, share: float = WIDE_SHARE, seed: int = 3) -> list[list[int]]:
-    """Grids for wide fingerprints: enough fields to tell unrelated points apart, enough grids for the recall of pairs
-    that differ in a share of their bits."""
-    fields = math.ceil((math.log2(max(points, 2)) + 1) / FIELD_BITS)
-    same = ((1 - share) ** 2 + share**2 / 2) ** fields
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - same))):
+def random_masks(fields: int, share: float, recall: float, seed: int = 3) -> list[list[int]]:
+    """Grids for wide fingerprints, each of `fields` fields: as many as find a pair that differs in a share of its bits with
+    the recall asked for."""
+    same = ((1 - share) ** 2 + share**2 / 2) ** fields  # all fields of a grid are equal
+    rng, out = np.random.default_rng([seed, fields]), []
+    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - same)) if fields else 1):
         chosen = rng.choice(32 * WIDE, fields, replace=False).tolist()
         out.append([sum(3 << 2 * (f % 32) for f in chosen if f // 32 == w) for w in range(WIDE)])
     return out
 
 
+def coarse_fields(points: int) -> int:
+    """Fields of the first level: its cells get 4,096 unrelated points, or up to 65,536 the more points there are, so that
+    a point has fewer rows."""
+    target = min(max(points / 64, 1 << 12), 1 << 16)
+    return max(0, math.ceil(math.log2(max(points, 1) / target) / FIELD_BITS))
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of rows by key, where each key's run begins in it, and how long it is."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return order, at, np.diff(np.append(at, len(keys)))
+
+
+def near_pairs(x: np.ndarray, radius: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions i, j) among points of one cell by the second level of grids; of dense groups a spanning forest."""
+    fields = max(0, math.ceil(math.log2(max(len(x), 1) / SUBCELL) / FIELD_BITS))
+    embedded, found = embedding(x), []
+    for grid in random_masks(fields, radius / (64 * WIDE), recall, seed=11):
+        key = np.zeros(len(x), np.uint64)
+        for w, m in enumerate(grid):
+            key = mix(key ^ (embedded[:, w] & np.uint64(m)))
+        order, at, size = _groups(key)
+        for g in np.flatnonzero(size > 1).tolist():
+            own = order[at[g] : at[g] + size[g]]
+            points = x[own]
+            if size[g] <= 4 * SUBCELL:
+                apart = np.bitwise_count(points[:, None, 0] ^ points[None, :, 0]).astype(np.int16)
+                for w in range(1, WIDE):
+                    apart += np.bitwise_count(points[:, None, w] ^ points[None, :, w])
+                i, j = np.nonzero(np.triu(apart <= radius, 1))
+                if len(i) <= 4 * size[g]:
+                    if len(i):
+                        found.append(np.stack([own[i], own[j]]))
+                    continue
+            found.append(np.stack(_forest(own, points, radius)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(found, axis=1)
+    code = np.unique(np.minimum(i, j) * len(x) + np.maximum(i, j))
+    return code // len(x), code % len(x)
+
+
 def _words(ids: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
     """Rows of words; a point without words is its id."""
     return np.stack([c.view(np.uint64) for c in rest or [ids]], axis=1)
 
 
-def _cells(radius: int, limit: int):
-    """Over rows (grid, cell, id, words) sorted by cell: links of cells up to `limit` points, the points of larger ones."""
+def _cells(radius: int, limit: int, near):
+    """Over rows (grid, cell, id, words) sorted by cell: links of cells up to `limit` points, the points of larger ones.
+
+    near(ids, words): links within a cell of more than 8 points."""
 
     def within(run: np.ndarray, size: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group = np.repeat(np.arange(len(run)), size)
@@ -173,7 +221,7 @@ def _cells(radius: int, limit: int):
             b.append(ids[i + shift])
         for g in np.flatnonzero((size > 8) & (size <= limit)):
             own = slice(run[g], run[g] + size[g])
-            for part, found in zip((a, b), _forest(ids[own], x[own], radius)):
+            for part, found in zip((a, b), near(ids[own], x[own])):
                 part.append(found)
         return np.concatenate(a), np.concatenate(b)
 
@@ -225,13 +273,13 @@ def _cells(radius: int, limit: int):
     return run
 
 
-def _chunk_pairs(radius: int):
+def _chunk_pairs(near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
 
         def close():
             now = [np.concatenate(x) for x in zip(*held)]
-            a, b = _forest(now[0], _words(now[0], now[1:]), radius)
+            a, b = near(now[0], _words(now[0], now[1:]))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -262,9 +310,11 @@ def _signed(m: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _join(points: DataFrame, words: list[str], grids: list[list[int]], radius: int, cell_rows: int) -> DataFrame:
+def _join(points: DataFrame, words: list[str], grids: list[list[int]], radius: int, cell_rows: int, near=None) -> DataFrame:
     """Links (a, b) between ids of points (id, words; without words the id is the fingerprint) that share a cell of a grid
-    and are within the radius: as many as connect what these links connect."""
+    and are within the radius: as many as connect what these links connect. near: see _cells; all points that are linked,
+    unless it is given."""
+    near = near or (lambda ids, x: _forest(ids, x, radius))
     n = 2 * partitions(points.sparkSession)
     embedded = points.select("id", *words, *[_fields(F.col(w)).alias(f"_e{i}") for i, w in enumerate(words or ["id"])])
     parts = lambda grid: [F.col(f"_e{i}").bitwiseAND(F.lit(_signed(m))) for i, m in enumerate(grid)]
@@ -272,7 +322,7 @@ def _join(points: DataFrame, words: list[str], grids: list[list[int]], radius: i
     keys = F.array(*[F.struct(F.lit(i).alias("grid"), cell(grid).alias("cell")) for i, grid in enumerate(grids)])
     cells = embedded.select("id", *words, F.explode(keys).alias("k")).select("k.grid", "k.cell", "id", *words)
     sorted_cells = cells.repartition(n, "grid", "cell").sortWithinPartitions("grid", "cell", "id")
-    found = durable(sorted_cells.mapInArrow(_cells(radius, cell_rows), "kind int, grid int, a long, b long"))
+    found = durable(sorted_cells.mapInArrow(_cells(radius, cell_rows, near), "kind int, grid int, a long, b long"))
     direct = found.where("kind = 0").select("a", "b")
     # cells beyond cell_rows: every pair of chunks of at most about half that size is one group
     hot = found.where("kind = 1").select("grid", F.col("a").alias("cell"), F.col("b").alias("id"))
@@ -282,7 +332,7 @@ def _join(points: DataFrame, words: list[str], grids: list[list[int]], radius: i
         chunked = chunked.join(points, "id")
     paired = chunked.select("grid", "cell", "id", *words, F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("c")).alias("i"), F.greatest(o, F.col("c")).alias("j")))).alias("p"))
     paired = paired.select("grid", "cell", "p.i", "p.j", "id", *words).repartition(n, "grid", "cell", "i", "j").sortWithinPartitions("grid", "cell", "i", "j", "id")
-    return direct.union(paired.mapInArrow(_chunk_pairs(radius), "a long, b long"))
+    return direct.union(paired.mapInArrow(_chunk_pairs(near), "a long, b long"))
 
 
 def links(points: DataFrame, radius: int = 4, cell_rows: int = CELL_ROWS, kept: int | None = None) -> DataFrame:
@@ -291,12 +341,20 @@ def links(points: DataFrame, radius: int = 4, cell_rows: int = CELL_ROWS, kept:
     return _join(points.select(F.col("fp").alias("id")), [], masks(radius, kept), radius, cell_rows)
 
 
-def wide_links(points: DataFrame, radius: int = WIDE_RADIUS, recall: float = 0.95, cell_rows: int = CELL_ROWS) -> DataFrame:
+def wide_links(points: DataFrame, radius: int = WIDE_RADIUS, recall: float = WIDE_RECALL, cell_rows: int = 1 << 17) -> DataFrame:
     """Links (a, b) between ids of wide fingerprints (id, w0 to w3, distinct) within `radius` of 256 bits.
 
-    Pairs that differ in WIDE_SHARE of their bits are found with the recall asked for, closer ones more surely."""
+    Pairs that differ in `radius` bits are found with the recall asked for whatever the number of points, closer ones
+    more surely; no other pairs are linked."""
     words = [f"w{i}" for i in range(WIDE)]
-    return _join(points.select("id", *words), words, random_masks(points.count(), recall), radius, cell_rows)
+    each = math.sqrt(recall)
+
+    def near(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = near_pairs(x, radius, each)
+        return ids[i], ids[j]
+
+    grids = random_masks(coarse_fields(points.count()), radius / (64 * WIDE), each)
+    return _join(points.select("id", *words), words, grids, radius, cell_rows, near)
 
 
 def _named(points: DataFrame, found: DataFrame) -> DataFrame:
@@ -341,16 +399,18 @@ def wide_marks(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame
     return slim.mapInArrow(run, "doc_id long, h long, id long, " + ", ".join(f"w{i} long" for i in range(WIDE)))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, radius: int = WIDE_RADIUS, recall: float = 0.95, cell_rows: int = CELL_ROWS) -> DataFrame:
+@any_names("doc_id", "text")
+def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, radius: int = WIDE_RADIUS, recall: float = WIDE_RECALL) -> DataFrame:
     """One row of each class of near duplicates: that with the least doc_id, of several that with the least row hash.
 
-    Texts are linked if their wide fingerprints differ in `radius` or fewer of 256 bits. Null ids come last; null and
+    Texts are linked if their wide fingerprints differ in `radius` or fewer of 256 bits; pairs at the radius itself are found
+    with the recall given, closer ones more surely, in tables of any size. Null ids come last; null and
     empty texts are one class; of rows that are equal in every column one stays; each of several texts under one doc_id
     is decided for itself; an empty table gives an empty result."""
     prepare(docs.sparkSession)
     marked = durable(wide_marks(docs, text, width))
     points = durable(marked.groupBy("id", *[f"w{i}" for i in range(WIDE)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")))
-    named = _named(points.select("id", "least"), wide_links(points, radius, recall, cell_rows))
+    named = _named(points.select("id", "least"), wide_links(points, radius, recall))
     counts = marked.groupBy("doc_id", "h").agg((F.count("*") > 1).alias("_again"))
     first = named.select(F.col("component_id.doc_id").alias("_id"), F.col("component_id.h").alias("_h")).distinct()
     leaders = first.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))

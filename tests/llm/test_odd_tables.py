@@ -9,12 +9,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, linededup, mixing, quality, queries, separators, sharding, simhash, sketches, sstable, suffixes
+from corpusloom.llm import components, decontaminate, linededup, mixing, quality, queries, separators, sharding, simhash, sketches, sstable, suffixes
 from corpusloom.llm.textkit import Words
 from corpusloom.llm.tokens import Encoder
 from tests.llm.test_operators import PATH, plain_edit_distance, words
 
-NAMES = ["low", "high", "arc", "base", "_arc", "_at", "_tie", "_rank", "_row", "_id", "_d", "_r", "_h", "_hash", "_takes", "_pass", "_t", "shard_", "key", "size", "epochs", "n", "h", "fp", "w0", "row_hash", "keep", "_key", "_part", "again"]
+NAMES = ["low", "high", "arc", "base", "_arc", "_at", "_tie", "_rank", "_row", "_id", "_d", "_r", "_h", "_hash", "_takes", "_pass", "_t", "shard_", "key", "size", "epochs", "n", "h", "fp", "w0", "row_hash", "keep", "_key", "_part", "again", "a.b", "c`d", "`", "expected_grade", "tail_probability", "shard", "slot", "c1_", "text "]
 
 
 def thue_morse(n):
@@ -56,14 +56,15 @@ def clashing(spark):
 
 
 def contents(frame, columns):
-    return collections.Counter(tuple(r) for r in frame.select(*columns).collect())
+    at = [frame.columns.index(c) for c in columns]
+    return collections.Counter(tuple(r[i] for i in at) for r in frame.collect())
 
 
 STAGES = {
-    "shard": lambda docs, labels, items: sharding.assign_shards(docs, 8, replicas=16),
+    "shard": lambda docs, labels, items: sharding.assign_shards(docs, 8, replicas=16, shard="in shard", slot="in slot"),
     "mix": lambda docs, labels, items: mixing.mixed_corpus(docs, labels),
     "clean": lambda docs, labels, items: decontaminate.clean_documents(docs, items),
-    "quality": lambda docs, labels, items: quality.select_good(docs, labels),
+    "quality": lambda docs, labels, items: quality.good_documents(docs, labels),
     "near": lambda docs, labels, items: simhash.drop_near_duplicates(docs),
 }
 
@@ -256,3 +257,45 @@ def test_mix_spreads_rows_of_one_doc_id(spark):
     chosen = got[got.doc_id == 7].chosen.mean()
     assert 0.4 < chosen < 0.6
     assert mixing.mixed_corpus(docs, labels).count() == 4500
+
+
+def test_figures_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(i, "some words " * i, "mine", "a.b") for i in range(6)], "doc_id long, text string, expected_grade string, `x.y` string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    got = quality.select_good(docs, labels, least=0.0)
+    assert got.dtypes == [("doc_id", "bigint"), ("text", "string"), ("x.y", "string"), ("expected_grade", "double"), ("tail_probability", "double")]
+    assert got.count() == 6
+    shards = sharding.assign_shards(docs.toDF("doc_id", "text", "shard", "slot"), 3)
+    assert shards.dtypes == [("doc_id", "bigint"), ("text", "string"), ("shard", "int"), ("slot", "bigint")]
+
+
+def planted(rnd, points, radius, pairs):
+    """Random fingerprints, of which the first `pairs` have a partner at exactly `radius` bits."""
+    bits = rnd.integers(0, 2, (points, 256)).astype(bool)
+    for i in range(pairs):
+        bits[points - 1 - i] = bits[i]
+        bits[points - 1 - i, rnd.choice(256, radius, replace=False)] ^= True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+@pytest.mark.parametrize(("points", "radius", "least"), [(200, 46, 0.88), (6000, 46, 0.88), (40_000, 46, 0.88), (40_000, 30, 0.99)])
+def test_wide_links_keep_their_recall_at_the_radius(spark, points, radius, least):
+    pairs = min(300, points // 4)
+    x = planted(np.random.default_rng(points), points, radius, pairs)
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(x.view(np.int64).tolist())], "id long, w0 long, w1 long, w2 long, w3 long").repartition(4)
+    got = {(min(r), max(r)) for r in simhash.wide_links(frame).collect()}
+    assert all(int(np.bitwise_count(x[a] ^ x[b]).sum()) <= simhash.WIDE_RADIUS for a, b in got)
+    assert sum((i, points - 1 - i) in got for i in range(pairs)) / pairs >= least
+
+
+def test_dense_cells_of_wide_fingerprints_stay_one_component(spark):
+    """Thousands of near copies of one text meet in all cells, cells beyond the limit among them."""
+    rnd = np.random.default_rng(3)
+    bits = np.repeat(rnd.integers(0, 2, (1, 256)).astype(bool), 3000, axis=0)
+    for row in bits:
+        row[rnd.choice(256, 12, replace=False)] ^= True
+    x = np.unique(np.packbits(bits, axis=1, bitorder="little").view(np.int64), axis=0)
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(x.tolist())], "id long, w0 long, w1 long, w2 long, w3 long")
+    for limit in (1 << 17, 700):
+        found = components.components(simhash.wide_links(frame, cell_rows=limit)).collect()
+        assert len(found) == len(x) - 1 and {r["root"] for r in found} == {0}
