@@ -9,14 +9,15 @@ from corpusloom.llm.base import durable, prepare, table
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier selects."""
-    return quality.select_good(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+    """Documents that the quality classifier selects, with their own columns."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least doc_id, of each class of SimHash links; shingles of five words.
 
-    Fingerprints of 256 bits that differ in 40 or fewer are linked, what texts of similarity 0.8 differ in on average."""
+    Fingerprints of 256 bits that differ in 46 or fewer are linked: nine in ten texts of similarity 0.8 do. Of pairs at 46 bits
+    0.92 are found, of closer ones more, in tables of any size."""
     return simhash.drop_near_duplicates(docs, width=5)
 
 
