@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 # The classes of characters that results depend on.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CJK = r"[\u3000-\u303f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef]"
 HAN = r"[\u4e00-\u9fff]+"
 LATIN = r"[a-z0-9_]+"
@@ -29,7 +30,7 @@ def text_of(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space, of any kind, at both ends."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def token_estimate(c: Column) -> Column:
@@ -77,9 +78,10 @@ def nonblank_lines(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """Runs of spaces as one, none around line breaks, no blank lines; zero-width spaces dropped."""
-    out = F.replace(F.replace(text_of(c), F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
-    out = F.regexp_replace(out, r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000&&[^\n]]+", " ")
-    return strip(F.regexp_replace(F.regexp_replace(out, " *\n *", "\n"), "\n{2,}", "\n"))
+    odd = BLANKS.replace("\n", "").replace(" ", "")
+    out = F.translate(text_of(c), odd + "\u200b", " " * len(odd))  # the last has no counterpart, and goes
+    out = F.regexp_replace(F.regexp_replace(out, " {2,}", " "), " ?\n ?", "\n")
+    return strip(F.regexp_replace(out, "\n{2,}", "\n"))
 
 
 def csv_cell(c: Column) -> Column:

@@ -28,6 +28,30 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(part(url, 2)), r"^.*@|:\d*$", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. are resolved."""
+    steps = F.split(path, "/")
+    folder = F.element_at(steps, -1).isin(".", "..")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda found, step: F.when(step == ".", found).when(step != "..", F.concat(found, F.array(step))).when(F.size(found) > 1, F.slice(found, 1, F.size(found) - 1)).otherwise(found))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(F.when(folder, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")).otherwise(path)
+
+
+def absolute(base: Column, reference: Column) -> Column:
+    """A reference of a page as an address, by the page's own; one with a scheme stays as it is."""
+    origin = F.concat(part(base, 1), F.lit("://"), part(base, 2))
+    path, rest = F.regexp_extract(reference, r"^([^?#]*)", 1), F.regexp_extract(reference, r"^[^?#]*(.*)$", 1)
+    here = part(base, 3)
+    query = F.when(part(base, 4) != "", F.concat(F.lit("?"), part(base, 4))).otherwise("")
+    folder = F.regexp_replace(F.when(here == "", "/").otherwise(here), "[^/]*$", "")
+    return (
+        F.when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (part(base, 1) == ""), reference)
+        .when(reference.startswith("//"), F.concat(part(base, 1), F.lit(":"), reference))
+        .when(reference == "", base)
+        .when(path == "", F.concat(origin, here, F.when(rest.startswith("#"), query).otherwise(""), rest))
+        .otherwise(F.concat(origin, _without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), rest))
+    )
+
+
 def bare_host(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"^www\.", "")
 

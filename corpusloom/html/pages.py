@@ -1,133 +1,108 @@
-"""Pages to columns: one parse of each page, for just what is asked."""
+"""Pages to columns: one table of elements, and from it just what is asked."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
+from corpusloom.functions.text import text_of
+from corpusloom.html import content, inspect
+from corpusloom.html.elements import elements, heads, kept
+from corpusloom.html.fields import EXTRACTORS, Extraction, parse_rules, register_extractor
 
-from corpusloom.html import compact, dom, fields, inspect
-from corpusloom.operators.chunks import tokens, truncate
-from corpusloom.shipping import ship
-
-ELEMENT = "struct<ref:string,role:string,tag:string,text:string,name:string,type:string,href:string,disabled:boolean>"
-TYPES = {
-    "compact": "struct<content:string,title:string,blocks:int,links_kept:int,links_dropped:int,root:string,truncated:boolean,tokens:int>",
-    "links": "array<string>",
-    "next_link": "string",
-    "interactions": f"struct<elements:array<{ELEMENT}>,forms:array<struct<action:string,method:string,fields:array<struct<name:string,type:string,ref:string>>>>,next:array<struct<text:string,href:string>>>",
-    "region": "string",
-    "grounding": "array<struct<path:string,selector:string,snippet:string,offset:int,basis:string>>",
-    "candidates": "map<string,array<struct<selector:string,snippet:string>>>",
-}
+OUTPUTS = ("compact", "links", "next_link", "interactions", "region", "grounding", "candidates", "fields")
 
 
 class Request:
-    """What to compute of each page. Keys of `outputs`: those of TYPES and fields; the rest are their parameters."""
+    """What to compute of each page. Keys of `outputs`: those of OUTPUTS; the rest are their parameters."""
 
     def __init__(self, *outputs: str, links: str = "internal", max_tokens: int | None = None, root: str | None = None, same_host: bool = True, most_links: int = 200, next_selector: str = "", region: str = "", schema: dict | None = None, extractors: dict | None = None):
-        unknown = set(outputs) - {*TYPES, "fields"}
+        unknown = set(outputs) - set(OUTPUTS)
         if unknown or links not in ("internal", "all", "none"):
             raise ValueError(f"not known: {sorted(unknown) or links}")
         self.outputs, self.links, self.max_tokens, self.root = outputs, links, max_tokens, root
         self.same_host, self.most_links, self.next_selector, self.region = same_host, most_links, next_selector, region
-        self.extractors = {**fields.EXTRACTORS, **(extractors or {})}
-        for name, function in self.extractors.items():
-            fields.register_extractor(name, function)
-        self.rules = fields.parse_rules(schema) if schema else []
-
-    def type_of(self, output: str) -> str:
-        if output == "fields":
-            return f"struct<data:{fields.spark_type(self.rules)},errors:array<string>,required_missing:array<string>>"
-        return TYPES[output]
-
-    def page(self, url: str, html: str | None) -> dict:
-        html = html or ""
-        root, body = dom.parse(re.sub(r"(?s)<!--.*?-->", "", html))
-        out: dict = {}
-        if "links" in self.outputs:
-            out["links"] = inspect.links(root, url, self.same_host, self.most_links)
-        if "next_link" in self.outputs:
-            out["next_link"] = inspect.next_link(root, url, self.next_selector, self.same_host)
-        found = fields.extract(root, self.rules, url) if {"fields", "grounding", "candidates"} & set(self.outputs) else None
-        if "fields" in self.outputs:
-            out["fields"] = {"data": _fitting(found.fields, self.rules), "errors": found.errors, "required_missing": found.required_missing}
-        if "candidates" in self.outputs:
-            out["candidates"] = [(r.key, inspect.candidates(root, r.selector)) for r in self.rules if r.key in found.required_missing]
-        if "region" in self.outputs and self.region:
-            out["region"] = "\n".join(compact.tidy(n.text(" ")) for n in root.all(self.region))
-        if "interactions" in self.outputs:
-            drawn = dom.parse(re.sub(r"(?is)<(script|style|noscript|svg|template)\b.*?</\1\s*>", "", html))[0] if "compact" in self.outputs else root
-            out["interactions"] = inspect.interactions(drawn, url)
-        stands = inspect.anchors(found.hits) if "grounding" in self.outputs else []
-        if {"compact", "grounding"} & set(self.outputs) or "region" in self.outputs and not self.region:
-            result = compact.compact(root, body, url, self.links, self.root)
-            text, cut, n = truncate(result["content"], self.max_tokens) if self.max_tokens else (result["content"], False, tokens(result["content"]))
-            if "compact" in self.outputs:
-                out["compact"] = result | {"content": text, "truncated": cut, "tokens": n}
-            if "grounding" in self.outputs:
-                out["grounding"] = inspect.placed(stands, result["content"], html)
-            if "region" in self.outputs and not self.region:
-                out["region"] = result["content"]
-        return out
-
-
-def _fitting(values: dict, rules: list[fields.Rule]) -> dict:
-    """Values in the types that spark_type declares; what doesn't fit is JSON text."""
-    def one(v, r: fields.Rule):
-        if v is None:
-            return None
-        if r.type == "object":
-            return _fitting(v, r.fields)
-        if r.type == "list":
-            return [_fitting(x, r.fields) if r.fields else scalar(x, r) for x in v] if isinstance(v, list) else None
-        if r.type == "count":
-            return int(v)
-        if r.type not in ("text", "attr", "html"):
-            return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-        return scalar(v, r)
-
-    def scalar(v, r: fields.Rule):
-        if r.convert in ("int", "float"):
-            return None if v is None or isinstance(v, (str, bool)) else int(v) if r.convert == "int" else float(v)
-        return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-
-    return {r.key: one(values.get(r.key), r) for r in rules}
+        for name, function in (extractors or {}).items():
+            register_extractor(name, function)
+        self.rules = parse_rules(schema) if schema else []
+
+
+def _lists(frame: DataFrame, item: Column, order: str, name: str) -> DataFrame:
+    """(page, name): the items of each page in order."""
+    held = frame.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), item.alias("x")))).alias("all"))
+    return held.select("page", F.transform("all", lambda x: x["x"]).alias(name))
 
 
 def parse_pages(pages: DataFrame, request: Request, url: str = "url", html: str = "html", *keys: str) -> DataFrame:
-    """(keys, one column an output, error): each page parsed once. A page that can't be parsed has an error, not a failure.
-
-    Only the keys, the address and the page are read and sent to Python; filters on keys go below, to the scan."""
-    ship(pages.sparkSession)
-    names = [*request.outputs, "error"]
-    types = [request.type_of(o) for o in request.outputs] + ["string"]
-    arrow = [to_arrow_type(_parse_datatype_string(t)) for t in types]
-    slim = pages.select(*keys, F.col(url).alias("_url"), F.col(html).alias("_html"))
-    extractors = request.extractors
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields.EXTRACTORS.update(extractors)
-        for batch in batches:
-            rows = []
-            for u, h in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()):
-                try:
-                    rows.append(request.page(u or "", h) | {"error": None})
-                except Exception as e:  # one page's fault is its own
-                    rows.append({"error": f"{type(e).__name__}: {e}"})
-            columns = [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, arrow)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], names=[*keys, *names])
-
-    own = dict(slim.dtypes)
-    return slim.mapInArrow(run, ", ".join([*(f"`{k}` {own[k]}" for k in keys), *(f"`{n}` {t}" for n, t in zip(names, types))]))
+    """(keys, one column an output, error): a page that can't be parsed has an error, not a failure.
+
+    Only the keys, the address and the page are read; all outputs come from one table of elements."""
+    asked = set(request.outputs)
+    found = elements(pages, *keys, url=url, html=html, source="grounding" in asked)
+    out = heads(found).select("page", *[F.col(f"keys.{k}").alias(k) for k in keys], "error")
+
+    def add(frame: DataFrame, name: str, kind: str | None = None) -> None:
+        nonlocal out
+        out = out.join(frame, "page", "left")
+        if kind:
+            out = out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
+
+    compact = None
+    if {"compact", "grounding"} & asked or "region" in asked and not request.region:
+        compact = content.compact(found, request.links, request.root, request.max_tokens if "grounding" not in asked else None)
+    if "compact" in asked:
+        cut = compact if "grounding" not in asked else content.compact(found, request.links, request.root, request.max_tokens)
+        add(cut.select("page", F.struct(*[c for c in cut.columns if c != "page"]).alias("compact")), "compact")
+    if "links" in asked:
+        add(_lists(inspect.links(found, request.same_host, request.most_links), F.col("dst"), "pos", "links"), "links", "array<string>")
+    if "next_link" in asked:
+        add(inspect.next_link(found, request.next_selector, request.same_host), "next_link")
+    if "interactions" in asked:
+        acts = inspect.interactions(found)
+        add(acts.select("page", F.struct("elements", "forms", "next").alias("interactions")), "interactions")
+    if "region" in asked:
+        texts = inspect.region(found, request.region) if request.region else compact.select("page", F.col("content").alias("region"))
+        add(texts, "region")
+        out = out.withColumn("region", text_of(F.col("region")))
+    if {"fields", "grounding", "candidates"} & asked:
+        extraction = Extraction(found, request.rules)
+        data = kept(extraction.pages())
+        if "fields" in asked:
+            add(data.select("page", F.struct("data", "errors", "required_missing").alias("fields")), "fields")
+        if "grounding" in asked:
+            texts = heads_with_source(found).join(compact.select("page", "content"), "page")
+            placed = inspect.grounded(inspect.anchored(found, extraction.places()), texts)
+            add(_lists(placed, F.struct("path", "selector", "snippet", "offset", "basis"), "path", "grounding"), "grounding", "array<struct<path:string,selector:string,snippet:string,offset:int,basis:string>>")
+        if "candidates" in asked:
+            near = _candidates(found, data, request)
+            add(near, "candidates")
+            out = out.withColumn("candidates", F.coalesce("candidates", F.create_map().cast("map<string,array<struct<selector:string,snippet:string>>>")))
+    return out.select(*keys, *request.outputs, "error")
+
+
+def heads_with_source(found: DataFrame) -> DataFrame:
+    return found.where("node = 0").select("page", text_of(F.col("text")).alias("html"))
+
+
+def _candidates(found: DataFrame, data: DataFrame, request: Request) -> DataFrame:
+    """(page, candidates): for each required field that a page lacks, elements near its selector."""
+    parts = []
+    for rule in request.rules:
+        if not rule.required or not rule.selector:
+            continue
+        lacking = data.where(F.array_contains("required_missing", rule.key)).select("page")
+        near = inspect.candidates(found.join(lacking, "page", "left_semi"), rule.selector)
+        parts.append(lacking.join(near, "page", "left").select("page", F.struct(F.lit(rule.key).alias("key"), F.coalesce("candidates", F.array().cast("array<struct<selector:string,snippet:string>>")).alias("value")).alias("e")))
+    if not parts:
+        return found.limit(0).select("page", F.create_map().cast("map<string,array<struct<selector:string,snippet:string>>>").alias("candidates"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("page").agg(F.map_from_entries(F.collect_list("e")).alias("candidates"))
 
 
 def link_table(pages: DataFrame, same_host: bool = True, most: int = 200, url: str = "url", html: str = "html") -> DataFrame:
     """(src, pos, dst): the links a crawl may follow from each page."""
-    found = parse_pages(pages.withColumn("_src", F.col(url)), Request("links", same_host=same_host, most_links=most), url, html, "_src")
-    return found.select(F.col("_src").alias("src"), F.posexplode("links").alias("pos", "dst"))
+    return inspect.links(elements(pages, url=url, html=html), same_host, most).select(F.col("url").alias("src"), "pos", "dst")
+
+
+__all__ = ["EXTRACTORS", "Request", "link_table", "parse_pages"]

