@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpusloom.functions import text
 from corpusloom.html.pages import Request, parse_pages
 from corpusloom.operators import chunks, excerpts, fit, reading, schedule, snapshots
+from corpusloom.operators.snapshots import moment
+from corpusloom.session import shared_folder
+from corpusloom.sources.snapshots import SnapshotStore
 from corpusloom.sources.tables import spread, table
 
 FORMS = ("markdown", "text", "blocks", "chunks", "html")
@@ -174,6 +177,15 @@ def version_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_version(_shots(spark, sf_dir), "2024-01-16T00:00:00Z").select("key", "version", "content", "truncated")
 
 
+def stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events written to a store in three batches, the newest first, and read back as of a time."""
+    shots = _shots(spark, sf_dir).select(F.col("key").cast("string").alias("key"), "ts", "text", "fields")
+    store = SnapshotStore(spark, shared_folder(spark, "snapshots"))
+    for turn in (2, 0, 1):
+        store.append(shots.where(F.pmod(F.floor(F.col("ts") / 86400), F.lit(3)) == turn))
+    return store.as_of(moment("2024-01-16T00:00:00Z")).select("key", "ts", "text")
+
+
 def changes_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's newest event against the one as of a time, field by field."""
     return compare_fields(_shots(spark, sf_dir), "2024-01-16T00:00:00Z").select("key", "path", "kind", "delta", "n_changes")
@@ -207,7 +219,7 @@ def newest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_jobs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created_at"))).select("job_id")
 
 
-QUERIES = {f.__name__: f for f in (page_answers, searched_pages, monitored, compared_versions, version_reads, changes_as_of, answered_queries, batch_outcomes, checked_contents, newest_orders)}
+QUERIES = {f.__name__: f for f in (page_answers, searched_pages, monitored, compared_versions, version_reads, stored_versions, changes_as_of, answered_queries, batch_outcomes, checked_contents, newest_orders)}
 SHOTS = """WITH s AS (SELECT user_id AS key, ts, max((event_id, event_type, value)) AS e FROM (SELECT user_id, ts, event_id, event_type, value FROM events) GROUP BY ALL),
 v AS (SELECT key, ts, e[2] AS kind, e[3] AS value, row_number() OVER (PARTITION BY key ORDER BY ts DESC)::INT AS version FROM s), o AS (SELECT * FROM v WHERE ts <= TIMESTAMP '2024-01-16 00:00:00' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) = 1)"""
 SQL = {
@@ -223,6 +235,7 @@ SELECT key, status, status = 'changed' AS notify, coalesce(h, last_hash) AS last
     "compared_versions": """WITH s AS (SELECT user_id AS key, ts, max(event_type) AS t FROM events GROUP BY ALL), v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS n FROM s),
 p AS (SELECT a.key, a.t AS now, b.t AS was, b.key IS NOT NULL AS has_previous FROM v a LEFT JOIN v b ON a.key = b.key AND b.n = 2 WHERE a.n = 1)
 SELECT key, CASE WHEN now IS DISTINCT FROM was THEN 1 ELSE 0 END AS added_lines, CASE WHEN has_previous AND now <> was THEN 1 ELSE 0 END AS removed_lines, has_previous FROM p""",
+    "stored_versions": SHOTS + " SELECT key::VARCHAR AS key, epoch_us(ts) / 1e6 AS ts, kind AS text FROM o",
     "version_reads": SHOTS + " SELECT key, version, kind AS content, false AS truncated FROM o",
     "changes_as_of": SHOTS + """, j AS (SELECT coalesce(a.key, b.key) AS key, a.key IS NULL AS new, a.kind AS k0, b.kind AS k1, a.value AS v0, b.value AS v1 FROM o a RIGHT JOIN (SELECT * FROM v WHERE version = 1) b ON a.key = b.key),
 c AS (SELECT key, 'kind' AS path, CASE WHEN new THEN 'added' ELSE 'modified' END AS kind, NULL AS delta FROM j WHERE new OR k0 <> k1 UNION ALL SELECT key, 'value', CASE WHEN new THEN 'added' ELSE 'modified' END, CASE WHEN NOT new THEN round(v1 - v0, 6) + 0.0 END FROM j WHERE new OR v0 <> v1)

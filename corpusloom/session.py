@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +31,14 @@ def get_session(app: str = "corpusloom", cores: int | str | None = None, **conf:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share, spark.checkpoint.dir. Where that is unset, a session of one
+    machine gets one of its own; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loom-")
+    return posixpath.join(found, f"{name}-{uuid.uuid4().hex}")
