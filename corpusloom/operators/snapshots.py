@@ -5,7 +5,6 @@ Snapshots are rows (key, ts, hash, text, ...); the order is that of ts, whatever
 
 from __future__ import annotations
 
-import difflib
 import json
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.web import content_lines
+from corpusloom.operators.linediff import hunks
 from corpusloom.shipping import ship
 
 TOLERANCE, KEEP_VERSIONS, KEEP_DAYS, DIFF_LINES, CHANGES = 1e-4, 20, 90, 40, 20
@@ -81,7 +81,9 @@ def changes(snapshots: DataFrame, key: str = "key", ts: str = "ts", tie: str | N
 
 
 def line_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """pairs with diff: struct(added_lines, removed_lines, diff, diff_truncated) of lines that aren't blank, up to 40 shown."""
+    """pairs with diff: struct(added_lines, removed_lines, diff, diff_truncated) of lines that aren't blank, up to 40 shown.
+
+    The script is a shortest one (see linediff). A null text has no lines."""
     ship(pairs.sparkSession)
     schema = "struct<added_lines:int,removed_lines:int,diff:array<string>,diff_truncated:boolean>"
     at = len(pairs.columns)
@@ -89,13 +91,12 @@ def line_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
 
     def compare(a: list, b: list) -> dict:
         shown, added, removed = [], 0, 0
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
-            if tag != "equal":
-                gone, come = ["-" + x for x in a[i:j]], ["+" + x for x in b[k:m]]
-                # what a unified diff's own headers look like isn't counted as a line
-                gone, come = [x for x in gone if not x.startswith("---")], [x for x in come if not x.startswith("+++")]
-                removed, added = removed + len(gone), added + len(come)
-                shown += gone + come
+        for went, came in hunks(a, b):
+            gone, come = ["-" + x for x in went], ["+" + x for x in came]
+            # what a unified diff's own headers look like isn't counted as a line
+            gone, come = [x for x in gone if not x.startswith("---")], [x for x in come if not x.startswith("+++")]
+            removed, added = removed + len(gone), added + len(come)
+            shown += gone + come
         return {"added_lines": added, "removed_lines": removed, "diff": shown[:DIFF_LINES], "diff_truncated": len(shown) > DIFF_LINES}
 
     kind = pa.struct([("added_lines", pa.int32()), ("removed_lines", pa.int32()), ("diff", pa.list_(pa.string())), ("diff_truncated", pa.bool_())])
