@@ -140,6 +140,27 @@ def page_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "visible", health.block_kind(F.col("status"), html, visible).alias("kind"), health.is_shell(html, visible).alias("shell"), health.is_login_wall(html).alias("login"))
 
 
+#: What a page is given, by page_id, so that every kind of challenge is there.
+MARKED = ("", "<div class=CF-Turnstile data-sitekey='0x4AAAAAAA'></div>", "<script>window.dd_cookie=1</script>", "px-captcha action: 'verify'", "<!-- _abck -->", "<title>Just a moment...</title>", "h-captcha 人机验证", "grecaptcha.render='abcdefghijklmnopqrstu'", "please log in", "__cf_chl_opt please wait")
+
+
+@query(r"""
+WITH k(i, provider, kind, sitekey, action, mark) AS (VALUES (1, 'turnstile', 'captcha', '0x4AAAAAAA', NULL, 'cf-turnstile'), (2, 'datadome', 'js_challenge', NULL, NULL, 'dd_cookie'), (3, 'perimeterx', 'captcha', NULL, 'verify', 'px-captcha'),
+  (4, 'akamai', 'js_challenge', NULL, NULL, '_abck'), (5, 'cloudflare', 'interstitial', NULL, NULL, 'just a moment'), (6, 'hcaptcha', 'captcha', NULL, NULL, 'h-captcha'), (7, 'recaptcha', 'captcha', 'abcdefghijklmnopqrstu', NULL, 'recaptcha'), (9, 'cloudflare', 'interstitial', NULL, NULL, 'cf_chl_opt')),
+p AS (SELECT page_id, page_id % 10 AS i, [200, 403, 429][(page_id // 10 % 3 + 1)::INT] AS status FROM pages)
+SELECT page_id, CASE WHEN status = 429 THEN coalesce(provider, 'unknown') WHEN p.i = 8 THEN 'unknown' ELSE provider END AS provider,
+  CASE WHEN status = 429 THEN 'rate_limit' WHEN p.i = 8 THEN 'login_wall' ELSE kind END AS kind, CASE WHEN status <> 429 THEN sitekey END AS sitekey, CASE WHEN status <> 429 THEN action END AS action,
+  CASE WHEN status = 429 THEN coalesce(mark, 'HTTP 429') WHEN p.i = 8 THEN 'HTTP ' || status || ' 且含登录入口' ELSE '命中 ' || provider || ' 特征: ' || mark END AS evidence
+FROM p LEFT JOIN k ON p.i = k.i WHERE provider IS NOT NULL OR status = 429 OR p.i = 8 AND status = 403""")
+def challenge_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who set up the challenges on pages that are marked by page_id."""
+    codes = F.get(F.array(F.lit(200), F.lit(403), F.lit(429)), (F.floor(F.col("page_id") / 10) % 3).cast("int"))
+    mark = F.get(F.array(*[F.lit(m) for m in MARKED]), (F.col("page_id") % 10).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", codes.alias("status"), F.concat(mark, "html").alias("html"))
+    found = pages.select("page_id", health.challenge(F.col("html"), F.col("status")).alias("c")).where("c is not null")
+    return found.select("page_id", "c.provider", "c.kind", "c.sitekey", "c.action", "c.evidence")
+
+
 ERRORS = ("", "", "", "Read timed out", "getaddrinfo failed", "SSL handshake", "Connection refused", "odd")
 
 
