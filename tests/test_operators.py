@@ -182,3 +182,22 @@ def test_metrics_lines(spark):
     lines = [r["line"] for r in usage.exposition(log.groupBy("tenant").count(), "requests_total", "count", ("tenant",)).collect()]
     assert lines[1:] == ['requests_total{tenant="a"} 2', 'requests_total{tenant="b\\""} 1']
     assert usage.fetch_counters(spark.createDataFrame([], "result_hit boolean, cached boolean, tokens int, bytes int")).first()["cache_hit_rate"] == 0
+
+
+def test_hash_vectors_against_a_plain_version(spark):
+    import hashlib
+    import math
+    import re
+
+    from corpusloom.operators import vectors
+
+    texts = ["one two two", "", None, "数据 a", "x" * 500, "One ONE 1_2"]
+    got = {r["i"]: r["vector"] for r in vectors.hash_embedding(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", 64).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[a-z0-9_]+", (text or "").lower()) + (["数据"] if "数" in (text or "") else [])
+        want = [0.0] * 64
+        for w in words:
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            want[h % 64] += 1 if h >> 63 else -1
+        size = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert got[i] == pytest.approx([x / size for x in want], abs=1e-6)
