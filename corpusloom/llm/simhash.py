@@ -39,6 +39,7 @@ FIELD_BITS = 1.5  # what a field tells of a random fingerprint
 WIDE = 4  # words of a wide fingerprint
 WIDE_RADIUS = 46  # of 256 bits: texts of similarity 0.8 differ in 39 of these on average, and in 46 or fewer nine times of ten
 WIDE_RECALL = 0.92  # at the radius
+WIDE_CELL_ROWS = 1 << 17  # points of a cell of the first level that one task takes
 SUBCELL = 64  # unrelated points that meet in a cell of the second level
 SHINGLES = 1 << 15  # whose bits are counted together
 
@@ -341,7 +342,7 @@ def links(points: DataFrame, radius: int = 4, cell_rows: int = CELL_ROWS, kept:
     return _join(points.select(F.col("fp").alias("id")), [], masks(radius, kept), radius, cell_rows)
 
 
-def wide_links(points: DataFrame, radius: int = WIDE_RADIUS, recall: float = WIDE_RECALL, cell_rows: int = 1 << 17) -> DataFrame:
+def wide_links(points: DataFrame, radius: int = WIDE_RADIUS, recall: float = WIDE_RECALL, cell_rows: int = WIDE_CELL_ROWS) -> DataFrame:
     """Links (a, b) between ids of wide fingerprints (id, w0 to w3, distinct) within `radius` of 256 bits.
 
     Pairs that differ in `radius` bits are found with the recall asked for whatever the number of points, closer ones
@@ -400,7 +401,7 @@ def wide_marks(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame
 
 
 @any_names("doc_id", "text")
-def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, radius: int = WIDE_RADIUS, recall: float = WIDE_RECALL) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, radius: int = WIDE_RADIUS, recall: float = WIDE_RECALL, cell_rows: int = WIDE_CELL_ROWS) -> DataFrame:
     """One row of each class of near duplicates: that with the least doc_id, of several that with the least row hash.
 
     Texts are linked if their wide fingerprints differ in `radius` or fewer of 256 bits; pairs at the radius itself are found
@@ -410,7 +411,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, ra
     prepare(docs.sparkSession)
     marked = durable(wide_marks(docs, text, width))
     points = durable(marked.groupBy("id", *[f"w{i}" for i in range(WIDE)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")))
-    named = _named(points.select("id", "least"), wide_links(points, radius, recall))
+    named = _named(points.select("id", "least"), wide_links(points, radius, recall, cell_rows))
     counts = marked.groupBy("doc_id", "h").agg((F.count("*") > 1).alias("_again"))
     first = named.select(F.col("component_id.doc_id").alias("_id"), F.col("component_id.h").alias("_h")).distinct()
     leaders = first.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
