@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import health, text, web
-from corpusloom.operators import excerpts, fit, inventory, policy, reading, snapshots, stats, usage, vectors
+from corpusloom.operators import excerpts, fit, inventory, policy, postings, reading, snapshots, stats, usage, vectors
 from corpusloom.sources import searches
 from corpusloom.sources.tables import spread, table
 
@@ -204,6 +204,19 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excerpts.search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "the License ouble", 25)
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS w FROM documents), s AS (SELECT count(*) AS total, avg(len(w)) AS av FROM w),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS term FROM conversations),
+r AS (SELECT conv_id, turn, doc_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / av))), 6) AS score, count(*)::INT AS hits FROM q JOIN d USING (term) JOIN p USING (term), s GROUP BY ALL)
+SELECT conv_id, turn, doc_id, hits, round(score, 3) AS score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id) <= 5""")
+def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents that answer each turn of the conversations best, all turns in one pass of an index."""
+    asked = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("turn"), "text")
+    found = postings.SearchIndex.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).search(asked, 5, "turn", "text")
+    return found.select("turn.conv_id", "turn.turn", F.col("key").alias("doc_id"), "hits", F.round("score", 3).alias("score"), "rank")
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("event_type").alias("hash"), F.length("props").alias("chars"), "event_id").withColumn("ts", F.col("us") / 1e6)
