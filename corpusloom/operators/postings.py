@@ -23,8 +23,8 @@ from corpusloom.shipping import ship
 
 TERMS = 4_000_000  # of a shard, repeats included
 WINDOW = 64  # documents
-QUERIES = 20_000  # of a task
-OPENED = 16  # windows at once at first; twice as many each further time
+QUERIES = 2_000  # of a task
+OPENED = 32  # windows at once at first; four times as many each further time
 ROUNDED = 1e-6  # more than rounding to six places moves a score
 FOUND = "shard int, _q long, row int, score double, hits int"
 
@@ -46,39 +46,42 @@ class Shard:
 
     def best(self, asked: list[tuple[str, float]], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Rows, scores and hits of the best documents, ties to the lesser row, and how many windows were opened."""
-        lists = [(weight, slice(self.first[i], self.first[i + 1])) for i, weight in ((self.terms.get(t), w) for t, w in asked) if i is not None]
-        bound = np.zeros(self.windows)
-        for weight, blocks in lists:
-            bound[self.window[blocks]] += weight * self.most[blocks]
+        lists = [(w, np.arange(self.first[i], self.first[i + 1])) for i, w in ((self.terms.get(t), w) for t, w in asked) if i is not None]
+        rows, scores, hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        if not lists:
+            return rows, scores, hits, 0
+        block, weight = np.concatenate([b for _, b in lists]), np.repeat([w for w, _ in lists], [len(b) for _, b in lists])
+        window = self.window[block]
+        bound = np.bincount(window, weight * self.most[block], self.windows)
         order = np.flatnonzero(bound > 0)
         order = order[np.argsort(-bound[order], kind="stable")]
-        rows, scores, hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         slot, at, many = np.full(self.windows, -1, np.int64), 0, OPENED
         while at < len(order):
-            least = scores[-1] - ROUNDED if len(scores) == top else -math.inf
             opened = order[at : at + many]
-            opened = opened[bound[opened] >= least]
+            if len(scores) == top:  # the rest are no better than these
+                opened = opened[bound[opened] >= scores[-1] - ROUNDED]
             if not len(opened):
                 break
             slot[opened] = np.arange(len(opened)) * WINDOW
-            score, hit = np.zeros(len(opened) * WINDOW), np.zeros(len(opened) * WINDOW, np.int64)
-            for weight, blocks in lists:
-                mine = np.flatnonzero(slot[self.window[blocks]] >= 0) + blocks.start
-                sizes = self.begin[mine + 1] - self.begin[mine]
-                posting = np.repeat(self.begin[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                place = np.repeat(slot[self.window[mine]], sizes) + self.row[posting] % WINDOW
-                tf = self.tf[posting]
-                score[place] += weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.length[posting] / self.average))
-                hit[place] += 1
+            mine = np.flatnonzero(slot[window] >= 0)
+            first = self.begin[block[mine]]
+            sizes = self.begin[block[mine] + 1] - first
+            posting = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            place = np.repeat(slot[window[mine]], sizes) + self.row[posting] % WINDOW
+            tf = self.tf[posting]
+            share = np.repeat(weight[mine], sizes) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.length[posting] / self.average))
+            hit = np.bincount(place, minlength=len(opened) * WINDOW)
+            score = np.bincount(place, share, len(opened) * WINDOW)  # summed in the order of the terms
             slot[opened] = -1
             some = np.flatnonzero(hit)
             rows = np.concatenate([rows, opened[some // WINDOW] * WINDOW + some % WINDOW])
             scores, hits = np.concatenate([scores, np.round(score[some], 6)]), np.concatenate([hits, hit[some]])
+            if len(scores) > 4 * top:  # what is below the k-th best goes before the sort
+                keep = scores >= np.partition(scores, -top)[-top]
+                rows, scores, hits = rows[keep], scores[keep], hits[keep]
             keep = np.lexsort((rows, -scores))[:top]
             rows, scores, hits = rows[keep], scores[keep], hits[keep]
-            at, many = at + len(opened), many * 2
-            if len(opened) < many // 2:
-                break
+            at, many = at + len(opened), many * 4
         good = scores > 0
         return rows[good], scores[good], hits[good], at
 
@@ -99,9 +102,11 @@ class SearchIndex:
         spark, folder = docs.sparkSession, folder or shared_folder(docs.sparkSession, "index")
         rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), terms(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
         totals = rows.agg(F.count("*").alias("n"), F.avg("length").alias("average"), F.sum(F.col("length").cast("long")).alias("terms")).first()
-        shards, average = max(1, math.ceil((totals["terms"] or 0) / size)), totals["average"] or 0.0
+        cores, average = spark.sparkContext.defaultParallelism, totals["average"] or 0.0
+        shards = max(cores, math.ceil((totals["terms"] or 0) / size))
+        tasks = min(4 * shards, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         spark.range(1).select(F.lit(totals["n"]).alias("n"), F.lit(average).alias("average"), F.lit(shards).alias("shards")).write.parquet(posixpath.join(folder, "statistics"))
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", "h"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", "h"), F.lit(shards)).cast("int")).repartition(tasks, "shard")
         numbered = dealt.withColumn("row", F.row_number().over(Window.partitionBy("shard").orderBy("key", "h")) - 1)
         numbered.select("shard", "row", "key").write.parquet(posixpath.join(folder, "documents"))
         tallied = numbered.select("shard", "row", "length", F.explode("terms").alias("term")).groupBy("shard", "term", "row", "length").agg(F.count("*").cast("int").alias("tf"))
