@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.text import terms
+from corpusloom.session import shared_folder
 from corpusloom.shipping import ship
 
 DIMENSIONS = 256
-QUERIES = 20_000  # sent to all tasks at once
+QUERIES = 5_000  # of a task
+ROWS = 200_000  # vectors of a task
+BATCH = 10_000  # of these at once
 SCORED = 4_000_000  # likenesses of a task at once
 
 
@@ -42,46 +45,60 @@ def _unit(rows: pa.Array) -> np.ndarray:
     return np.divide(found, size, out=np.zeros_like(found), where=size > 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = QUERIES) -> DataFrame:
+def blocks(queries: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """queries with part, the block of about `size` rows that each is in, and how many blocks there are."""
+    many = max(1, math.ceil(queries.count() / size))
+    return queries.withColumn("part", F.pmod(F.xxhash64("_q"), F.lit(many)).cast("int")), many
+
+
+def asked(queries: DataFrame, key: str, vector: str) -> DataFrame:
+    """Queries (query_id, q) with a number each, written to the shared folder so that it stays."""
+    path = shared_folder(queries.sparkSession, "asked")
+    rows = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    rows.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).withColumn("_q", F.monotonically_increasing_id()).write.parquet(path)
+    return queries.sparkSession.read.parquet(path)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = QUERIES, rows: int = ROWS) -> DataFrame:
     """(query_id, key, score, rank): the k vectors most like each query, ties to the lesser key. Null keys and vectors
     are left out.
 
-    Exact. Queries are sent to all tasks in blocks of `block`, one pass of the vectors a block. A task scores batches by
-    matrix products, holds k rows a query, and only these are shuffled."""
+    Exact. Both sides are dealt out in blocks, of `rows` vectors and of `block` queries, and each two blocks meet in a task:
+    it scores batches by matrix products and returns k rows a query. Nothing goes through the driver."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
-
-    def scored(asked: pa.Table) -> DataFrame:
-        ids, unit = np.asarray(asked.column(0)).astype(np.int64), _unit(asked.column(1).combine_chunks())
-        shared = spark.sparkContext.broadcast((ids, unit))  # at most `block` queries
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, unit = shared.value
-            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys, own = np.asarray(batch.column(0)), _unit(batch.column(1))
-                parts = [held]
-                for a in range(0, len(ids), SCORED // batch.num_rows + 1):
-                    score = np.round(unit[a : a + SCORED // batch.num_rows + 1] @ own.T, 9)
-                    least = np.partition(score, -k, axis=1)[:, -k, None] if batch.num_rows > k else -np.inf
+    known = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
+    pieces = max(spark.sparkContext.defaultParallelism, math.ceil(known.count() / rows))
+    numbered, many = blocks(asked(queries, key, vector), block)
+    side = known.select("key", "v", F.pmod(F.xxhash64("key", "v"), F.lit(pieces)).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("part"))
+    sent = numbered.select("_q", "q", "part", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"))
+
+    def run(found: pa.Table, wanted: pa.Table) -> pa.Table:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if found.num_rows and wanted.num_rows:
+            ids, unit = np.asarray(wanted.column("_q")), _unit(wanted.column("q").combine_chunks())
+            for start in range(0, found.num_rows, BATCH):
+                batch = found.slice(start, BATCH)
+                keys, own = np.asarray(batch.column("key")), _unit(batch.column("v").combine_chunks())
+                step, parts = SCORED // len(keys) + 1, [held]
+                for a in range(0, len(ids), step):
+                    score = np.round(unit[a : a + step] @ own.T, 9)
+                    least = np.partition(score, -k, axis=1)[:, -k, None] if len(keys) > k else -np.inf
                     query, at = np.nonzero(score >= least)
                     parts.append((query + a, keys[at], score[query, at]))
                 held = _best(k, *(np.concatenate(x) for x in zip(*parts)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", key, "score"])
-
-        return rows.mapInArrow(run, f"query_id long, `{key}` long, score double")
-
-    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).orderBy(key)
-    kind = pa.schema([(key, pa.int64()), (vector, pa.list_(pa.float64()))])
-    found = spark.createDataFrame([], f"query_id long, `{key}` long, score double")
-    stream = asked.toLocalIterator()
-    while held := list(islice(stream, block)):
-        found = found.union(scored(pa.Table.from_pylist([{key: r[0], vector: r[1]} for r in held], kind)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            held = (ids[held[0]], *held[1:])
+        return pa.table({"_q": pa.array(held[0], pa.int64()), "key": pa.array(held[1], pa.int64()), "score": pa.array(held[2], pa.float64())})
+
+    best = side.groupBy("piece", "part").cogroup(sent.groupBy("piece", "part")).applyInArrow(run, "_q long, key long, score double")
+    return ranked(best, numbered, k, key)
+
+
+def ranked(found: DataFrame, numbered: DataFrame, k: int, key: str) -> DataFrame:
+    """The k best of (_q, key, score) by query, under the names that are returned."""
+    order = Window.partitionBy("_q").orderBy(F.desc("score"), "key")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(numbered.select("_q", "query_id"), "_q").select("query_id", F.col("key").alias(key), "score", "rank")
 
 
 def hash_embedding(frame: DataFrame, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
