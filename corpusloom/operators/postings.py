@@ -2,15 +2,16 @@
 
 Documents are dealt over shards of about TERMS terms by a hash of key and text, so that a frequent term's postings are
 split as the documents are, and are numbered by key within their shard. A term's postings stand in blocks, one for each
-window of WINDOW numbers, each with the greatest share that the term gives a score there. A task takes a shard and a block
-of queries: the sum of the terms' shares bounds the scores of a window, windows are opened from the greatest bound
-on, and those below the k-th best score so far are left closed.
+window of WINDOW numbers, each with the greatest share that the term gives a score there. A task takes a shard, whose
+postings come first, and then the queries as a stream: the sum of the terms' shares bounds the scores of a window, windows
+are opened from the greatest bound on, and those below the k-th best score so far are left closed.
 """
 
 from __future__ import annotations
 
 import math
 import posixpath
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,10 @@ from corpusloom.operators.excerpts import K1, B
 from corpusloom.session import shared_folder
 from corpusloom.shipping import ship
 
-TERMS = 4_000_000  # of a shard, repeats included
+TERMS = 8_000_000  # of a shard, repeats included
 WINDOW = 64  # documents
-QUERIES = 2_000  # of a task
+ANSWERED = 1_000  # queries whose answers are returned at once
+WAVES = 3  # tasks for each core, where shards are fewer
 OPENED = 32  # windows at once at first; four times as many each further time
 ROUNDED = 1e-6  # more than rounding to six places moves a score
 FOUND = "shard int, _q long, row int, score double, hits int"
@@ -119,40 +121,61 @@ class SearchIndex:
         written.groupBy("term").agg(F.sum("df").alias("df")).write.parquet(posixpath.join(folder, "frequencies"))
         return SearchIndex(spark, folder)
 
-    def search(self, queries: DataFrame, top: int = 10, key: str = "query_id", text: str = "query", block: int = QUERIES) -> DataFrame:
+    def search(self, queries: DataFrame, top: int = 10, key: str = "query_id", text: str = "query", block: int | None = None) -> DataFrame:
         """(query key, key, score, hits, rank): the `top` documents by BM25 of each row of queries, as excerpts.search ranks
         them; ties go to the lesser key. Queries without a term that some document holds have no rows.
 
-        Only postings of the queries' terms are read. They meet the queries in tasks of a shard and `block` queries, which
-        return `top` rows a query."""
+        Only postings of the queries' terms are read. Each shard's go to one task, which all queries pass through as arrays
+        of numbers of terms, and return `top` rows each; postings are copied only where shards are fewer than WAVES tasks a
+        core, or where `block` queries a task are asked for."""
         ship(self.spark)
         path = shared_folder(self.spark, "asked")
-        queries.select(F.col(key).alias("query"), F.array_distinct(terms(F.col(text))).alias("terms")).withColumn("_q", F.monotonically_increasing_id()).write.parquet(path)
-        asked = self.spark.read.parquet(path)
+        queries.select(F.col(key).alias("query"), F.array_distinct(terms(F.col(text))).alias("terms")).withColumn("_q", F.monotonically_increasing_id()).write.parquet(posixpath.join(path, "queries"))
+        asked = self.spark.read.parquet(posixpath.join(path, "queries"))
         known = self.statistics.first()
-        average, n, groups = known["average"], known["n"], max(1, math.ceil(asked.count() / block))
+        average, n, shards = known["average"], known["n"], known["shards"]
+        parts = max(math.ceil(WAVES * self.spark.sparkContext.defaultParallelism / shards), math.ceil(asked.count() / block) if block else 1)
         weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = F.pmod(F.xxhash64("_q"), F.lit(groups)).cast("int")
-        wanted = asked.select("_q", part.alias("part"), F.posexplode("terms").alias("pos", "term")).join(self.frequencies, "term").select("_q", "part", "pos", "term", weight.alias("weight"))
-        chosen = self.postings.join(wanted.select("term").distinct(), "term", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        sent = wanted.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(known["shards"] - 1))))
-
-        def run(postings: pa.Table, wanted: pa.Table) -> pa.Table:
+        named = asked.select(F.explode("terms").alias("term")).distinct().join(self.frequencies, "term").select("term", F.monotonically_increasing_id().alias("id"), weight.alias("weight"))
+        named.write.parquet(posixpath.join(path, "terms"))  # numbers stay as they are
+        named = self.spark.read.parquet(posixpath.join(path, "terms"))
+        each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        held = self.postings.join(named, "term").select("shard", each(parts).alias("part"), F.lit(None).cast("long").alias("_q"), "id", "weight", "blocks", F.lit(None).cast("array<bigint>").alias("ids"))
+        numbers = asked.select("_q", F.posexplode("terms").alias("pos", "term")).join(named, "term").groupBy("_q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+        passed = numbers.select(each(shards).alias("shard"), F.pmod(F.xxhash64("_q"), F.lit(parts)).cast("int").alias("part"), "_q", *[F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("id", "weight", "blocks")], "ids")
+        # a null _q sorts first: postings stand before the queries that pass through them
+        tasks = held.unionByName(passed).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "_q")
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
+
+        def answered(shard: Shard, weights: dict[int, float], number: int, rows: pa.Table) -> pa.RecordBatch:
             out = []
-            if postings.num_rows and wanted.num_rows:
-                shard, number = Shard(postings, average), postings.column("shard")[0].as_py()
-                rows = wanted.select(["_q", "pos", "term", "weight"]).sort_by([("_q", "ascending"), ("pos", "ascending")])
-                ids, words, weights = np.asarray(rows.column("_q")), rows.column("term").to_pylist(), rows.column("weight").to_pylist()
-                cuts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
-                for a, b in zip(cuts, [*cuts[1:], len(ids)]):
-                    found, score, hits, _ = shard.best(list(zip(words[a:b], weights[a:b])), top)
-                    out.append((np.full(len(found), number), np.full(len(found), ids[a]), found, score, hits))
-            columns = [np.concatenate(x) for x in zip(*out)] if out else [[]] * 5
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
-            return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("shard", "_q", "row", "score", "hits"), columns, kinds)})
-
-        found = chosen.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(run, FOUND)
-        named = found.join(self.documents, ["shard", "row"])
+            for q, ids in zip(rows.column("_q").to_pylist(), rows.column("ids").to_pylist()):
+                found, score, hits, _ = shard.best([(i, weights[i]) for i in ids if i in weights], top)
+                out.append((np.full(len(found), number), np.full(len(found), q), found, score, hits))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*out), kinds)], names=["shard", "_q", "row", "score", "hits"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, read, shard, weights = None, [], None, {}
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                places = list(zip(rows.column("shard").to_pylist(), rows.column("part").to_pylist(), rows.column("_q").is_null().to_pylist()))
+                cuts = [i for i in range(len(places)) if not i or places[i] != places[i - 1]]
+                for a, b in zip(cuts, [*cuts[1:], len(places)]):
+                    number, part, posting = places[a]
+                    if (number, part) != at:
+                        at, read, shard = (number, part), [], None
+                    if posting:
+                        read.append(rows.slice(a, b - a).select(["id", "weight", "blocks"]).rename_columns(["term", "weight", "blocks"]))
+                        continue
+                    if read:
+                        postings = pa.concat_tables(read).combine_chunks()
+                        read, shard, weights = [], Shard(postings, average), dict(zip(postings.column("term").to_pylist(), postings.column("weight").to_pylist()))
+                    if shard:
+                        for c in range(a, b, ANSWERED):
+                            yield answered(shard, weights, number, rows.slice(c, min(ANSWERED, b - c)))
+
+        best = Window.partitionBy("_q").orderBy(F.desc("score"))
+        found = tasks.mapInArrow(run, FOUND).withColumn("place", F.rank().over(best)).where(F.col("place") <= top)
         place = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "key", "shard", "row"))
-        best = named.withColumn("rank", place).where(F.col("rank") <= top)
-        return best.join(asked.select("_q", "query"), "_q").select(F.col("query").alias(key), "key", "score", "hits", "rank")
+        ranked = found.join(self.documents, ["shard", "row"]).withColumn("rank", place).where(F.col("rank") <= top)
+        return ranked.join(asked.select("_q", "query"), "_q").select(F.col("query").alias(key), "key", "score", "hits", "rank")

@@ -65,3 +65,14 @@ def test_windows_below_the_best_stay_closed():
     plain = sorted((-round(s, 6), r) for r, s in every.items())[:10]
     assert [(-s, r) for s, r in zip(scores.tolist(), rows.tolist())] == plain
     assert opened < 100 and set(hits.tolist()) <= {1, 2}
+
+
+def test_postings_are_not_copied_for_more_queries(spark, monkeypatch):
+    docs, _, _ = corpus(spark)
+    index = postings.SearchIndex.build(docs, size=700)
+    assert index.statistics.first()["shards"] >= postings.WAVES * spark.sparkContext.defaultParallelism
+    queries = spark.range(5000).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.pmod("id", F.lit(9)).cast("string"), F.lit(" w7")).alias("query"))
+    passed, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *given, **more: passed.append(self) or plain(self, *given, **more))
+    assert index.search(queries, 2).where("query_id is null").count() == 0
+    assert passed[-1].where("_q is null").count() == index.postings.where(F.col("term").rlike("^w[0-8]$")).count()
