@@ -118,7 +118,7 @@ def test_references_without_a_semicolon(spark):
 def test_registered_queries_leave_cut_references_as_their_sql_does(spark, tmp_path):
     html = '<html><head><title>Cut &amp;&amp</title></head><body><article><h1>Cut &amp;&amp</h1><p>word</article></body></html>'
     spark.createDataFrame([(1, "http://h.org/p", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    for name in ("page_content",):
+    for name in ("page_content", "page_fields"):
         row = catalog.queries()[name](spark, str(tmp_path)).first()
         assert row["title"] == "Cut &&amp"
     assert "# Cut &&amp" in catalog.queries()["page_content"](spark, str(tmp_path)).first()["content"]
