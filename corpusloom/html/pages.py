@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.text import text_of
 from corpusloom.html import content, inspect
@@ -104,8 +104,14 @@ def _candidates(found: DataFrame, data: DataFrame, request: Request) -> DataFram
 
 
 def link_table(pages: DataFrame, same_host: bool = True, most: int = 200, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, pos, dst): the links a crawl may follow from each page."""
-    return inspect.links(elements(pages, url=url, html=html), same_host, most).select(F.col("url").alias("src"), "pos", "dst")
+    """(src, pos, dst): the links a crawl may follow from each address, the first `most`, each once.
+
+    Links are in the order of the page's anchors. Pages that share an address are read side by side: all first anchors, then
+    all second ones; equal places go by dst."""
+    found = inspect.followed(elements(pages, url=url, html=html), same_host)
+    first = found.groupBy(F.col("url").alias("src"), "dst").agg(F.min("turn").alias("turn"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy("turn", "dst"))
+    return first.withColumn("place", place).where(F.col("place") <= most).select("src", (F.col("place") - 1).alias("pos"), "dst")
 
 
 __all__ = ["EXTRACTORS", "Request", "link_table", "parse_pages"]

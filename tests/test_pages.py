@@ -122,3 +122,12 @@ def test_registered_queries_leave_cut_references_as_their_sql_does(spark, tmp_pa
         row = catalog.queries()[name](spark, str(tmp_path)).first()
         assert row["title"] == "Cut &&amp"
     assert "# Cut &&amp" in catalog.queries()["page_content"](spark, str(tmp_path)).first()["content"]
+
+
+def test_pages_of_one_address_give_one_list_of_links(spark):
+    page = lambda *hrefs: "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    rows = [("http://h.org/p", page("/c", "mailto:x", "/a", "/b")), ("http://h.org/p", page("/b", "/a", "/d")), ("http://h.org/q", page("/z", "/z", "/y"))]
+    found = link_table(spark.createDataFrame(rows, "url string, html string"))
+    held = sorted((r["src"][-1], r["pos"], r["dst"][-1]) for r in found.collect())
+    assert held == [("p", 0, "b"), ("p", 1, "c"), ("p", 2, "a"), ("p", 3, "d"), ("q", 0, "z"), ("q", 1, "y")]
+    assert link_table(spark.createDataFrame(rows, "url string, html string"), most=2).count() == 4
