@@ -1,13 +1,16 @@
-"""Makes this package importable in Python workers, wherever they run."""
+"""Makes this package importable in Python workers, wherever they run, and hands them rows in pieces of bounded size."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
+PIECE = 1 << 20  # bytes
 _SHIPPED: set[str] = set()
 
 
@@ -26,3 +29,14 @@ def ship(spark: SparkSession) -> None:
                     archive.write(path, os.path.relpath(path, os.path.dirname(top)))
     context.addPyFile(target)
     _SHIPPED.add(context.applicationId)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in their order, in batches of `most` bytes or of one row: a batch of Spark's is as large as its
+    rows are, and as Python objects many times that."""
+    for batch in batches:
+        if batch.num_rows > 1 and batch.nbytes > most:
+            half = batch.num_rows // 2
+            yield from pieces((batch.slice(0, half), batch.slice(half)), most)
+        elif batch.num_rows:
+            yield batch
