@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.web import content_lines
 from corpusloom.operators.linediff import hunks
-from corpusloom.shipping import ship
+from corpusloom.shipping import pieces, ship
 
 TOLERANCE, KEEP_VERSIONS, KEEP_DAYS, DIFF_LINES, CHANGES = 1e-4, 20, 90, 40, 20
 
@@ -80,14 +80,15 @@ def changes(snapshots: DataFrame, key: str = "key", ts: str = "ts", tie: str | N
     return out.withColumn("first_seen", first).withColumn("changed", ~F.col("first_seen") & ~F.col("previous_hash").eqNullSafe(F.col(digest)))
 
 
-def line_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """pairs with diff: struct(added_lines, removed_lines, diff, diff_truncated) of lines that aren't blank, up to 40 shown.
+def line_diff(pairs: DataFrame, old: str, new: str, *keys: str) -> DataFrame:
+    """pairs, or their keys only, with diff: struct(added_lines, removed_lines, diff, diff_truncated) of lines that aren't blank, up to 40 shown.
 
     The script is a shortest one (see linediff). A null text has no lines."""
     ship(pairs.sparkSession)
     schema = "struct<added_lines:int,removed_lines:int,diff:array<string>,diff_truncated:boolean>"
-    at = len(pairs.columns)
-    rows = pairs.select(*pairs.columns, content_lines(F.col(old)).alias("_lines_before"), content_lines(F.col(new)).alias("_lines_after"))
+    keys = keys or tuple(pairs.columns)
+    at = len(keys)
+    rows = pairs.select(*keys, content_lines(F.col(old)).alias("_lines_before"), content_lines(F.col(new)).alias("_lines_after"))
 
     def compare(a: list, b: list) -> dict:
         shown, added, removed = [], 0, 0
@@ -102,11 +103,11 @@ def line_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
     kind = pa.struct([("added_lines", pa.int32()), ("removed_lines", pa.int32()), ("diff", pa.list_(pa.string())), ("diff_truncated", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [compare(a or [], b or []) for a, b in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, kind)], names=[*batch.schema.names[:at], "diff"])
 
-    names = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
+    names = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:at])
     return rows.mapInArrow(run, f"{names}, diff {schema}")
 
 

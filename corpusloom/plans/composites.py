@@ -65,7 +65,7 @@ def compare_versions(shots: DataFrame, compare: str = "prev", key: str = "key",
     new = snapshots.resolve(shots, "latest", key, ts).select(key, F.col(text_column).alias("after"))
     old = snapshots.resolve(shots, compare, key, ts).select(key, F.col(text_column).alias("before"))
     pairs = new.join(old.withColumn("_have", F.lit(True)), key, "left").withColumn("has_previous", F.coalesce("_have", F.lit(False)))
-    return snapshots.line_diff(pairs, "before", "after").select(key, "diff.*", "has_previous")
+    return snapshots.line_diff(pairs, "before", "after", key, "has_previous").select(key, "diff.*", "has_previous")
 
 
 def monitor_run(tasks: DataFrame, current: DataFrame, now: int) -> DataFrame:

@@ -27,6 +27,7 @@ def test_pieces_keep_all_rows_in_order():
 
 CASES = {
     "document_chunks": (lambda docs: chunk_documents(docs, "text", 1200, 200, "k"), [KEYS, LARGE]),
+    "version_diffs": (lambda docs: line_diff(docs.withColumn("old", F.col("text")), "old", "text", "k"), [KEYS, LINES, LINES]),
 }
 
 
@@ -41,3 +42,10 @@ def test_operators_return_pieces(spark, monkeypatch, name):
     found = list(ran[0](iter([batch])))
     assert sum(x.num_rows for x in found) >= 240 and len(found) > 3
     assert max(x.num_rows for x in found) <= (8_000 if name == "page_counts" else 80)
+
+
+def test_differences_keep_only_the_keys_asked_for(spark):
+    pairs = spark.createDataFrame([(1, "a\nb", "a", "x")], "k int, now string, was string, other string")
+    assert line_diff(pairs, "was", "now", "k").columns == ["k", "diff"]
+    assert line_diff(pairs, "was", "now").columns == ["k", "now", "was", "other", "diff"]
+    assert line_diff(pairs, "was", "now", "k").first()["diff"]["added_lines"] == 1
