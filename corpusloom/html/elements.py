@@ -19,11 +19,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from corpusloom.functions.text import text_of
-from corpusloom.shipping import ship
+from corpusloom.shipping import pieces, ship
 
 TEXT = "#text"
 DEEPEST = 256  # elements further down are taken for siblings
-ROWS = 20_000  # of a batch
+ROWS = 5_000  # of a batch
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element that opens ends these, if they are open and nothing of the scope is in between.
 ENDS = {
@@ -151,7 +151,7 @@ def elements(pages: DataFrame, *keys: str, url: str = "url", html: str = "html",
     own, n = to_arrow_schema(schema), len(taken_over)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             taken, rows, errors = [], [], []
 
             def flush() -> pa.RecordBatch:

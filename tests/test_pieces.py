@@ -29,6 +29,7 @@ CASES = {
     "document_chunks": (lambda docs: chunk_documents(docs, "text", 1200, 200, "k"), [KEYS, LARGE]),
     "version_diffs": (lambda docs: line_diff(docs.withColumn("old", F.col("text")), "old", "text", "k"), [KEYS, LINES, LINES]),
     "hash_vectors": (lambda docs: hash_embedding(docs, "text"), [KEYS, LARGE, LINES]),
+    "page_counts": (lambda docs: elements(docs, "k", url="text", html="text"), [KEYS, URLS, LARGE, KEYS]),
 }
 
 
