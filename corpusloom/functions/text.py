@@ -33,21 +33,27 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def _rare(common: str, rare: str) -> str:
+    """The class of characters `rare`, for regular expressions of Spark, which ask for each of its ranges in turn: characters of
+    `common`, of which it holds none, fail at once."""
+    return rf"[[^{common}]&&{rare}]"
+
+
 def token_estimate(c: Column) -> Column:
     """One token a CJK character, a quarter for any other that isn't white space; at least 1, 0 for an empty text.
 
     The ideographic space counts as CJK and as white space, so it lowers what is left."""
-    cjk = F.regexp_count(c, F.lit(CJK))
-    ink = F.length(F.regexp_replace(c, rf"{SPACE}+", ""))
-    estimate = F.greatest(F.lit(1), F.floor(cjk + (ink - cjk) / 4.0).cast("int"))
+    cjk = F.regexp_count(c, F.lit(_rare(r"\x00-\u2fff", CJK)))
+    ink = F.length(F.translate(c, BLANKS, ""))
+    estimate = F.greatest(F.lit(1), F.floor((ink + 3 * cjk) / 4.0).cast("int"))
     return F.when(text_of(c) == "", 0).otherwise(estimate)
 
 
 def terms(c: Column) -> Column:
     """Search terms: words of Latin letters, digits and _, then pairs of neighbours in each run of Han characters."""
     low = F.lower(text_of(c))
-    latin = F.regexp_extract_all(low, F.lit(f"({LATIN})"), 1)
-    runs = F.regexp_extract_all(low, F.lit(f"({HAN})"), 1)
+    latin = F.regexp_extract_all(low, F.lit(LATIN), 0)
+    runs = F.regexp_extract_all(low, F.lit(HAN), 0)
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, 2)))))
     return F.concat(latin, pairs)
 
@@ -68,7 +74,7 @@ def plain_text(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    return F.split(text_of(c), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    return F.split(F.replace(text_of(c), F.lit("\r\n"), F.lit("\n")), _rare(r" -~\xa0-\u2027", r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
 
 
 def nonblank_lines(c: Column) -> Column:
@@ -80,7 +86,8 @@ def tidy(c: Column) -> Column:
     """Runs of spaces as one, none around line breaks, no blank lines; zero-width spaces dropped."""
     odd = BLANKS.replace("\n", "").replace(" ", "")
     out = F.translate(text_of(c), odd + "\u200b", " " * len(odd))  # the last has no counterpart, and goes
-    out = F.regexp_replace(F.regexp_replace(out, " {2,}", " "), " ?\n ?", "\n")
+    out = F.regexp_replace(out, " {2,}", " ")
+    out = F.replace(F.replace(out, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     return strip(F.regexp_replace(out, "\n{2,}", "\n"))
 
 

@@ -173,7 +173,7 @@ def _put_together(pieces: DataFrame, level: int, links: str) -> DataFrame:
         F.first("path").alias("path"), F.first("ups").alias("ups"), F.first("around.tag").alias("kind"), F.first("within").alias("within"),
         ordered(F.struct("node", "text")).alias("text"), F.max(F.when(F.col("node") == F.col("key"), F.col("link"))).alias("link"), F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped"),
     )
-    out = out.withColumn("label", tidy(F.col("text")))
+    out = out.withColumn("label", F.when(F.col("kind") == "a", tidy(F.col("text"))))  # of links only: most text isn't in one
     gone = F.lit(links == "none") | (F.col("link.outside") & F.lit(links != "all")) | (F.col("label") == "")
     bracketed = F.replace(F.replace(F.col("label"), F.lit("["), F.lit("\\[")), F.lit("]"), F.lit("\\]"))
     link = F.when(F.col("link").isNull(), F.col("label")).when(~gone, F.concat(F.lit("["), bracketed, F.lit("]("), F.col("link.shown"), F.lit(")"))).when(F.col("label") != "", F.concat(F.col("label"), F.lit(" "))).otherwise("")

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -42,25 +43,33 @@ class Tokeniser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[list] = []
+        self.ways: list[tuple[list, list]] = [([], [])]  # above and lineage of what stands in none, one, two... of those open
         self.body = False
-        self._add("html", {})
-        self.open = [self.rows[0]]
+        self._open(self._add("html", {}))
 
     def _add(self, tag: str, attributes: dict | None, text: str | None = None) -> list:
-        above = [r[0] for r in self.open]
-        words = (text or "").replace("\u200b", "").split()
-        row = [len(self.rows), len(self.rows), above[-1] if above else None, None, False, tag, attributes, text, sum(map(len, words)), len(words), above, [r[5] for r in self.open], set()]
-        for up in self.open:
-            if tag != TEXT:
+        above, lineage = self.ways[-1]
+        words = text.replace("\u200b", "").split() if text else []
+        n = len(self.rows)
+        row = [n, n, above[-1] if above else None, None, False, tag, attributes, text, sum(map(len, words)), len(words), above, lineage, set()]
+        if tag != TEXT:
+            for up in reversed(self.open):
+                if tag in up[12]:
+                    break  # and so do those above it
                 up[12].add(tag)
         self.rows.append(row)
         return row
 
+    def _open(self, row: list) -> None:
+        above, lineage = self.ways[-1]
+        self.open.append(row)
+        self.ways.append(([*above, row[0]], [*lineage, row[5]]))
+
     def _close(self, n: int) -> None:
         """End the open elements from the n-th on."""
         for row in self.open[n:]:
             row[1] = len(self.rows) - 1
-        del self.open[n:]
+        del self.open[n:], self.ways[n + 1 :]
 
     def _end(self, tags: set[str] | frozenset[str], scope: set[str]) -> bool:
         for i in range(len(self.open) - 1, 0, -1):
@@ -89,7 +98,7 @@ class Tokeniser(HTMLParser):
         self._close(DEEPEST)
         row = self._add(tag, values)
         if tag not in VOID:
-            self.open.append(row)
+            self._open(row)
 
     handle_startendtag = handle_starttag
 
@@ -124,6 +133,13 @@ def rows_of(html: str | None, closed: bool = False) -> list[list]:
     return found.rows
 
 
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Values of one of COLUMNS. Lists are of one array cut by offsets, which costs Python a fraction of a list a value."""
+    if not pa.types.is_list(kind):
+        return pa.array([None if x is None else list(x.items()) for x in values] if pa.types.is_map(kind) else values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), pa.array(list(chain.from_iterable(values)), kind.value_type))
+
+
 def kept(frame: DataFrame) -> DataFrame:
     """Rows that several branches read, dealt out by page and made once: in the shared folder where there is one, else in the
     executors' stores, from which lost parts are made again."""
@@ -158,7 +174,7 @@ def elements(pages: DataFrame, *keys: str, url: str = "url", html: str = "html",
                 at = pa.array([i for i, _ in taken], pa.int64())  # noqa: B023
                 first = pa.array([i if head else None for i, head in taken], pa.int64())  # noqa: B023
                 columns = [batch.column(0).take(at), batch.column(1).take(at), *(c.take(first) for c in batch.columns[3:]), pa.array(errors, pa.string())]  # noqa: B023
-                columns += [pa.array([list(x.items()) if isinstance(x, dict) else list(x) if isinstance(x, set) else x for x in column], kind.type) for column, kind in zip(zip(*rows), list(own)[n + 1 :])]  # noqa: B023
+                columns += [_column(column, kind.type) for column, kind in zip(zip(*rows), list(own)[n + 1 :])]  # noqa: B023
                 return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, own)], schema=own)
 
             for i, page in enumerate(batch.column(2).to_pylist()):

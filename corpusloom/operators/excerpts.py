@@ -14,9 +14,10 @@ HEADING = r"^#{1,6}\s+(.*)$"
 def blocks(content: Column) -> Column:
     """array of struct(text, heading, start, end): stretches between headings and blank lines, of 4 characters or more."""
     bare = F.transform(F.split(text_of(content), "\n"), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+    heading = lambda bare: bare.startswith("#") & bare.rlike(HEADING)
     rows = F.transform(
         bare,
-        lambda x: F.struct(x["line"].alias("line"), F.length(x["line"]).alias("n"), ((x["bare"] == "") | x["bare"].rlike(HEADING)).alias("stop"), F.when(x["bare"].rlike(HEADING), strip(F.regexp_extract(x["bare"], HEADING, 1))).alias("title")),
+        lambda x: F.struct(x["line"].alias("line"), F.length(x["line"]).alias("n"), ((x["bare"] == "") | heading(x["bare"])).alias("stop"), F.when(heading(x["bare"]), strip(F.regexp_extract(x["bare"], HEADING, 1))).alias("title")),
     )
     kind = "struct<text:string,heading:string,start:int,end:int>"
     none = F.array().cast("array<string>")
@@ -78,7 +79,8 @@ def excerpts(content: Column, query: Column, most: int = 3, chars: int = 600) ->
 
 
 def _counted(block: Column, tokens: Column, wanted: Column) -> Column:
-    tf = F.transform(wanted, lambda w: F.size(F.filter(tokens, lambda t: t == w)))
+    held = F.filter(tokens, lambda t: F.array_contains(wanted, t))
+    tf = let(held, lambda h: F.transform(wanted, lambda w: F.size(F.filter(h, lambda t: t == w))))
     return F.struct(block["start"].alias("start"), block["text"].alias("text"), block["heading"].alias("heading"), F.size(tokens).cast("double").alias("length"), tf.alias("tf"))
 
 

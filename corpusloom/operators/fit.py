@@ -37,11 +37,12 @@ def line_kind(line: Column) -> Column:
 
     def decide(x: Column) -> Column:
         phrase = F.when(x["beside"] == "", line).otherwise(x["beside"])
-        short, left = F.length(line) <= SHORT_LINE, F.length(x["beside"])
+        left = F.length(x["beside"])
         nav = ((x["links"] >= 3) & (left <= 40)) | ((x["links"] >= 2) & (left <= 16))
         return F.when(short & phrase.rlike(f"(?i)({ADS})"), "ads").when(short & phrase.rlike(f"(?i)({FOOTER})"), "footer").when(nav, "nav")
 
-    return let(looked, decide)
+    short = F.length(line) <= SHORT_LINE
+    return F.when(short | line.contains("]("), let(looked, decide))  # a long line without links is content, as most of a page is
 
 
 def _looked_at(rows: Column) -> Column:
@@ -53,8 +54,8 @@ def _looked_at(rows: Column) -> Column:
             x["line"].alias("line"),
             (x["bare"] == "").alias("blank"),
             x["bare"].startswith("```").alias("fence"),
-            x["bare"].rlike(HEADING).alias("heading"),
-            F.when(x["bare"].rlike(HEADING), section_kind(F.regexp_extract(x["bare"], HEADING, 1))).alias("opened"),
+            (x["bare"].startswith("#") & x["bare"].rlike(HEADING)).alias("heading"),
+            F.when(x["bare"].startswith("#") & x["bare"].rlike(HEADING), section_kind(F.regexp_extract(x["bare"], HEADING, 1))).alias("opened"),
             F.when(x["bare"] != "", line_kind(x["bare"])).alias("kind"),
         ),
     )

@@ -10,7 +10,7 @@ from corpusloom.operators import chunks, excerpts, fit, reading, schedule, snaps
 from corpusloom.operators.snapshots import moment
 from corpusloom.session import shared_folder
 from corpusloom.sources.snapshots import SnapshotStore
-from corpusloom.sources.tables import spread, table
+from corpusloom.sources.tables import PAGE_TASKS, spread, table
 
 FORMS = ("markdown", "text", "blocks", "chunks", "html")
 BUDGET_LEAST, BUDGET_MOST = 200, 8000
@@ -139,7 +139,7 @@ def newest_jobs(jobs: DataFrame, limit: int = 20) -> DataFrame:
 
 def page_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages cut to what answers a query."""
-    found = read_pages(spread(table(spark, sf_dir, "pages")), fitted=True, query="the license page")
+    found = read_pages(spread(table(spark, sf_dir, "pages"), PAGE_TASKS), fitted=True, query="the license page")
     return found.select("page_id", "excerpted", "tokens", F.md5("content").alias("digest"))
 
 
