@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from html.parser import HTMLParser
 from itertools import accumulate, chain
 
@@ -115,11 +115,20 @@ class Tokeniser(HTMLParser):
 _OPEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1|\Z)|&(?=[a-z][a-z0-9]*(?![a-z0-9;]))")
 
 
-def rows_of(html: str | None, closed: bool = False) -> list[list]:
-    """closed: named references are read where a semicolon ends them only, else as browsers do."""
+@cache
+def _unread(closed: bool, named: tuple[str, ...] | None) -> re.Pattern | None:
+    """Scripts and style sheets, or the start of a reference that stays as it is."""
+    if named is None:
+        return _OPEN if closed else None
+    return re.compile(r"(?is)<(script|style)\b.*?(?:</\1|\Z)|&(?!(?-i:" + "|".join(map(re.escape, named)) + ");)")
+
+
+def rows_of(html: str | None, closed: bool = False, named: tuple[str, ...] | None = None) -> list[list]:
+    """closed: named references are read where a semicolon ends them only, else as browsers do. named: of all references, those
+    of these names alone are read, where a semicolon ends them."""
     found = Tokeniser()
-    source = re.sub(r"(?s)<!--.*?-->", "", html or "")
-    found.feed(_OPEN.sub(lambda m: m[0] if m[1] else "&amp;", source) if closed else source)
+    source, unread = re.sub(r"(?s)<!--.*?-->", "", html or ""), _unread(closed, named)
+    found.feed(unread.sub(lambda m: m[0] if m[1] else "&amp;", source) if unread else source)
     found.close()
     found._close(0)
     children: dict[int, list[list]] = {}
@@ -154,12 +163,12 @@ def kept(frame: DataFrame) -> DataFrame:
     return frame.checkpoint().repartition(tasks, "page")  # what follows knows how rows are dealt out, and leaves them there
 
 
-def elements(pages: DataFrame, *keys: str, url: str = "url", html: str = "html", source: bool = False, closed: bool = False) -> DataFrame:
+def elements(pages: DataFrame, *keys: str, url: str = "url", html: str = "html", source: bool = False, closed: bool = False, named: tuple[str, ...] | None = None) -> DataFrame:
     """(page, url, keys, error) and COLUMNS: a row for each element and stretch of text of each page, by page.
 
     page numbers the rows of pages, so that equal ones stay apart; keys are on each page's first row only, as is an error
     of the tokeniser, whose page then has no other row. A null page is an empty one, of one row. source: the first row's
-    text is the page's. closed: see rows_of."""
+    text is the page's. closed, named: see rows_of."""
     ship(pages.sparkSession)
     slim = pages.select(F.monotonically_increasing_id().alias("page"), text_of(F.col(url)).alias("url"), F.col(html).alias("_html"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     taken_over = [StructField(f.name, f.dataType) for f in slim.schema.fields if f.name != "_html"]
@@ -180,7 +189,7 @@ def elements(pages: DataFrame, *keys: str, url: str = "url", html: str = "html",
             for i, page in enumerate(batch.column(2).to_pylist()):
                 error = None
                 try:
-                    found = rows_of(page, closed)
+                    found = rows_of(page, closed, named)
                 except Exception as e:  # one page's fault is its own
                     found, error = rows_of(None), f"{type(e).__name__}: {e}"
                 found[0][7] = page if source else None

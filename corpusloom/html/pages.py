@@ -15,15 +15,16 @@ OUTPUTS = ("compact", "links", "next_link", "interactions", "region", "grounding
 class Request:
     """What to compute of each page. Keys of `outputs`: those of OUTPUTS; the rest are their parameters.
 
-    closed: whether `&amp` and the like stay as they are where no semicolon follows; browsers read them as `&amp;`."""
+    closed: whether `&amp` and the like stay as they are where no semicolon follows; browsers read them as `&amp;`.
+    named: the names of the only references to read, where a semicolon follows; all others stay as they are."""
 
-    def __init__(self, *outputs: str, links: str = "internal", max_tokens: int | None = None, root: str | None = None, same_host: bool = True, most_links: int = 200, next_selector: str = "", region: str = "", schema: dict | None = None, extractors: dict | None = None, closed: bool = False):
+    def __init__(self, *outputs: str, links: str = "internal", max_tokens: int | None = None, root: str | None = None, same_host: bool = True, most_links: int = 200, next_selector: str = "", region: str = "", schema: dict | None = None, extractors: dict | None = None, closed: bool = False, named: tuple[str, ...] | None = None):
         unknown = set(outputs) - set(OUTPUTS)
         if unknown or links not in ("internal", "all", "none"):
             raise ValueError(f"not known: {sorted(unknown) or links}")
         self.outputs, self.links, self.max_tokens, self.root = outputs, links, max_tokens, root
         self.same_host, self.most_links, self.next_selector, self.region = same_host, most_links, next_selector, region
-        self.closed = closed
+        self.closed, self.named = closed, named
         for name, function in (extractors or {}).items():
             register_extractor(name, function)
         self.rules = parse_rules(schema) if schema else []
@@ -40,7 +41,7 @@ def parse_pages(pages: DataFrame, request: Request, url: str = "url", html: str
 
     Only the keys, the address and the page are read; all outputs come from one table of elements."""
     asked = set(request.outputs)
-    found = elements(pages, *keys, url=url, html=html, source="grounding" in asked, closed=request.closed)
+    found = elements(pages, *keys, url=url, html=html, source="grounding" in asked, closed=request.closed, named=request.named)
     out = heads(found).select("page", *[F.col(f"keys.{k}").alias(k) for k in keys], "error")
 
     def add(frame: DataFrame, name: str, kind: str | None = None) -> None:

@@ -4,6 +4,7 @@ import gzip
 import io
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from corpusloom import catalog
@@ -131,3 +132,14 @@ def test_pages_of_one_address_give_one_list_of_links(spark):
     held = sorted((r["src"][-1], r["pos"], r["dst"][-1]) for r in found.collect())
     assert held == [("p", 0, "b"), ("p", 1, "c"), ("p", 2, "a"), ("p", 3, "d"), ("q", 0, "z"), ("q", 1, "y")]
     assert link_table(spark.createDataFrame(rows, "url string, html string"), most=2).count() == 4
+
+
+def test_page_fields_reads_the_references_of_its_sql_alone(spark, tmp_path):
+    titles = ["a &quot;b&quot; &lt;c&gt; &amp;", "&copy; &#38; &#x26; &LT; &amp;lt; &amp;quot; &amp &ampx;", "t&nbsp;u &eacute; & &;"]
+    rows = [(i, f"http://h.org/{i}", f"<html><head><title>{t}</title><script>if (a &lt; b && c) {{}}</script></head><body><article><h1>{t}</h1><p>word</article></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    plain = dict(con.execute(f"SELECT page_id, title FROM ({catalog.oracle_sql()['page_fields']})").fetchall())
+    assert {r["page_id"]: r["title"] for r in catalog.queries()["page_fields"](spark, str(tmp_path)).collect()} == plain
+    assert plain[0] == "a &quot;b&quot; <c> &"
