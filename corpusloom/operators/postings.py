@@ -5,6 +5,11 @@ split as the documents are, and are numbered by key within their shard. A term's
 window of WINDOW numbers, each with the greatest share that the term gives a score there. A task takes a shard, whose
 postings come first, and then the queries as a stream: the sum of the terms' shares bounds the scores of a window, windows
 are opened from the greatest bound on, and those below the k-th best score so far are left closed.
+
+Of many queries, each with many frequent terms, the bounds close little. They are scored some hundred at a time instead: what
+a term adds to a document is the same for all of them, so the terms that many documents hold are a matrix, by which one of
+zeros and ones is multiplied, and lists of the other terms are added to its product. These scores are of single precision;
+documents that may be among the best by the greatest error they can have are scored again in doubles.
 """
 
 from __future__ import annotations
@@ -28,6 +33,12 @@ ANSWERED = 1_000  # queries whose answers are returned at once
 WAVES = 3  # tasks for each core, where shards are fewer
 OPENED = 32  # windows at once at first; four times as many each further time
 ROUNDED = 1e-6  # more than rounding to six places moves a score
+ERROR = 2.0**-22  # more than twice what rounding to single precision moves a sum by, for each of its terms
+TOGETHER = 256  # queries scored at once
+FEWEST = 8  # of them; fewer are answered one at a time
+SCORES = 1 << 21  # held at once, of all queries and documents
+DENSE = 1 / 10  # of a shard's documents: terms that more hold are in the matrix
+SHORT = 40  # postings: lists of fewer are added for all queries at once
 FOUND = "shard int, _q long, row int, score double, hits int"
 
 
@@ -45,6 +56,80 @@ class Shard:
         self.begin = np.asarray(held.offsets)
         self.row, self.tf, self.length = (np.asarray(held.values.field(name)) for name in ("row", "tf", "length"))
         self.windows = int(self.window.max(initial=-1)) + 1
+        self.matrix: np.ndarray | None = None
+
+    def prepare(self, weights: np.ndarray) -> None:
+        """Make what `answers` needs, of the terms' weights in their order: what each posting adds to a score, the matrix of the
+        terms that many documents hold, and each document's terms."""
+        bounds = self.begin[self.first]  # of each term's postings
+        self.lists, sizes = bounds, np.diff(bounds)
+        term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        added = self.tf * (K1 + 1) / (self.tf + K1 * (1 - B + B * self.length / self.average)) * weights[term]
+        self.added, self.at = added.astype(np.float32), self.row.astype(np.intp)
+        documents = self.windows * WINDOW
+        dense = np.flatnonzero(sizes > DENSE * documents)
+        self.column = np.full(len(sizes), -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((len(dense), documents), np.float32)
+        for i, t in enumerate(dense.tolist()):
+            held = slice(bounds[t], bounds[t + 1])
+            self.matrix[i, self.at[held]] = self.added[held]
+        by_document = np.argsort(self.row, kind="stable")
+        self.held, self.gives = term[by_document], added[by_document]
+        self.document = np.concatenate([[0], np.cumsum(np.bincount(self.row, minlength=documents))])
+        self.names = np.fromiter(self.terms, np.int64, len(self.terms))
+        self.by_name = np.argsort(self.names)
+        self.names = self.names[self.by_name]
+
+    def together(self) -> int:
+        """How many queries' scores of all documents are held at once."""
+        return min(TOGETHER, SCORES // max(1, self.windows * WINDOW))
+
+    def answers(self, ids: np.ndarray, counts: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some queries, whose terms' names follow each other in ids, `counts` of each: query, row, score and hits of the
+        best documents of each, ties to the lesser row."""
+        n, documents = len(counts), self.windows * WINDOW
+        query, at = np.repeat(np.arange(n), counts), np.searchsorted(self.names, ids)
+        known = self.names[np.minimum(at, len(self.names) - 1)] == ids
+        query, term = query[known], self.by_name[at[known]]
+        column, first = self.column[term], self.lists[term]
+        size = self.lists[term + 1] - first
+        asked = np.zeros((n, len(self.matrix)), np.float32)
+        asked[query[column >= 0], column[column >= 0]] = 1
+        score = asked @ self.matrix
+        short = np.flatnonzero((column < 0) & (size < SHORT))
+        if len(short):
+            many = size[short]
+            posting = np.repeat(first[short] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            np.add.at(score.reshape(-1), np.repeat(query[short] * documents, many) + self.at[posting], self.added[posting])
+        long = np.flatnonzero((column < 0) & (size >= SHORT))
+        for q, a, b in zip(query[long].tolist(), first[long].tolist(), (first + size)[long].tolist()):
+            score[q][self.at[a:b]] += self.added[a:b]
+        # as many documents as `top` reach the least of so many windows' greatest scores
+        windows = score.reshape(n, self.windows, WINDOW)
+        most = windows.max(axis=2)
+        least = np.partition(most, -top, axis=1)[:, -top] if top < self.windows else np.zeros(n, np.float32)
+        least = np.maximum(least * (1 - (counts + 4) * ERROR) - ROUNDED, 0)
+        opened, window = np.nonzero((most > 0) & (most >= least[:, None]))
+        inside = windows[opened, window]
+        i, place = np.nonzero((inside > 0) & (inside >= least[opened][:, None]))
+        of, row = opened[i], window[i] * WINDOW + place
+        # again, by all that a document's terms give
+        ends, own = np.searchsorted(of, np.arange(n + 1)), np.searchsorted(query, np.arange(n + 1))
+        found, hits, marked = np.zeros(len(of)), np.zeros(len(of), np.int64), np.zeros(len(self.column), bool)
+        for q in np.flatnonzero(np.diff(ends)).tolist():
+            mine = term[own[q] : own[q + 1]]
+            marked[mine] = True
+            for j in range(ends[q], ends[q + 1]):
+                a, b = self.document[row[j]], self.document[row[j] + 1]
+                given = self.gives[a:b][marked[self.held[a:b]]]
+                found[j], hits[j] = given.sum(), len(given)
+            marked[mine] = False
+        found = np.round(found, 6)
+        order = np.lexsort((row, -found, of))
+        of, row, found, hits = of[order], row[order], found[order], hits[order]
+        keep = (np.arange(len(of)) - ends[of] < top) & (found > 0)
+        return of[keep], row[keep], found[keep], hits[keep]
 
     def best(self, asked: list[tuple[str, float]], top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Rows, scores and hits of the best documents, ties to the lesser row, and how many windows were opened."""
@@ -148,7 +233,17 @@ class SearchIndex:
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
 
         def answered(shard: Shard, weights: dict[int, float], number: int, rows: pa.Table) -> pa.RecordBatch:
-            out = []
+            out, together = [], shard.together()
+            if rows.num_rows >= FEWEST and together >= FEWEST:
+                if shard.matrix is None:
+                    shard.prepare(np.fromiter(weights.values(), np.float64, len(weights)))
+                names, lists = rows.column("_q").to_numpy(), rows.column("ids").combine_chunks()
+                offsets, ids = np.asarray(lists.offsets), np.asarray(lists.values)
+                for a in range(0, len(names), together):
+                    cut = offsets[a : a + together + 1]
+                    of, found, score, hits = shard.answers(ids[cut[0] : cut[-1]], np.diff(cut), top)
+                    out.append((np.full(len(of), number), names[a + of], found, score, hits))
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*out), kinds)], names=["shard", "_q", "row", "score", "hits"])
             for q, ids in zip(rows.column("_q").to_pylist(), rows.column("ids").to_pylist()):
                 found, score, hits, _ = shard.best([(i, weights[i]) for i in ids if i in weights], top)
                 out.append((np.full(len(found), number), np.full(len(found), q), found, score, hits))

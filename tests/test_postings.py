@@ -76,3 +76,39 @@ def test_postings_are_not_copied_for_more_queries(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *given, **more: passed.append(self) or plain(self, *given, **more))
     assert index.search(queries, 2).where("query_id is null").count() == 0
     assert passed[-1].where("_q is null").count() == index.postings.where(F.col("term").rlike("^w[0-8]$")).count()
+
+
+def test_many_queries_at_once_equal_one_at_a_time(monkeypatch):
+    rnd, average = np.random.default_rng(7), 90.0
+    documents = 64 * 30 + 5
+    lengths = rnd.integers(1, 300, documents)
+    lists = {}
+    for term in range(60):
+        for r in np.flatnonzero(rnd.random(documents) < 0.7 / (1 + term)).tolist():
+            lists.setdefault(term * 3 + 1, {}).setdefault(r // 64, []).append({"row": r, "tf": int(rnd.geometric(0.4)), "length": int(lengths[r])})
+    most = lambda held: max(x["tf"] * 2.5 / (x["tf"] + 1.5 * (0.25 + 0.75 * x["length"] / average)) for x in held)
+    names = rnd.permutation(list(lists)).tolist()
+    table = [{"term": t, "blocks": [{"window": w, "most": most(held), "held": held} for w, held in lists[t].items()]} for t in names]
+    kind = pa.schema([("term", pa.int64()), ("blocks", pa.list_(pa.struct([("window", pa.int32()), ("most", pa.float64()), ("held", pa.list_(pa.struct([("row", pa.int32()), ("tf", pa.int32()), ("length", pa.int32())])))])))])
+    shard = postings.Shard(pa.Table.from_pylist(table, kind), average)
+    weights = dict(zip(names, rnd.uniform(0.1, 6, len(names)).tolist()))
+    shard.prepare(np.array(list(weights.values())))
+    assert 0 < len(shard.matrix) < len(names)
+    asked = [rnd.choice(190, int(rnd.integers(0, 40)), replace=False).tolist() for _ in range(70)] + [[], [names[0]], [999]]
+    monkeypatch.setattr(postings, "SHORT", 40)
+    for top in (1, 5, 40):
+        of, row, score, hits = shard.answers(np.array([t for q in asked for t in q], np.int64), np.array([len(q) for q in asked]), top)
+        for i, q in enumerate(asked):
+            rows, scores, held, _ = shard.best([(t, weights[t]) for t in q if t in weights], top)
+            assert (row[of == i].tolist(), score[of == i].tolist(), hits[of == i].tolist()) == (rows.tolist(), scores.tolist(), held.tolist())
+
+
+def test_search_of_many_queries_equals_that_of_few(spark, monkeypatch):
+    docs, rnd, words = corpus(spark)
+    index = postings.SearchIndex.build(docs, size=20000)
+    asked = [" ".join(rnd.choices(words, k=rnd.randint(1, 9))) for _ in range(400)]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string").coalesce(1)
+    of = lambda frame: sorted((r["query_id"], r["rank"], str(r["key"]), r["score"], r["hits"]) for r in frame.collect())
+    many = of(index.search(queries, 7))
+    plain = of(index.search(queries, 7, block=4))  # fewer than FEWEST a task, most of them
+    assert many == plain and len({r[0] for r in many}) == 400
