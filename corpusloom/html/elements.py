@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from corpusloom.functions.text import text_of
+from corpusloom.session import shared_folder
 from corpusloom.shipping import pieces, ship
 
 TEXT = "#text"
@@ -149,6 +150,17 @@ def _column(values: tuple, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), pa.array(list(chain.from_iterable(values)), kind.value_type))
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """As kept, for a large table: compressed files by column in the shared folder, dealt out by page as they are read, so that
+    each branch moves its own columns alone and the whole rows are never shuffled. The files stay."""
+    spark = frame.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        return kept(frame)
+    folder = shared_folder(spark, "elements")
+    frame.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page")
+
+
 def kept(frame: DataFrame) -> DataFrame:
     """Rows that several branches read, dealt out by page and made once: in the shared folder where there is one, else in the
     executors' stores, from which lost parts are made again."""
@@ -205,7 +217,7 @@ def elements(pages: DataFrame, *keys: str, url: str = "url", html: str = "html",
 
     found = slim.mapInArrow(run, schema)
     named = F.struct(F.lit(None).cast("int").alias("_"), *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)])
-    return kept(found.select("page", "url", named.alias("keys"), *found.columns[n:]))
+    return stored(found.select("page", "url", named.alias("keys"), *found.columns[n:]))
 
 
 def heads(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.html.elements import rows_of
+from corpusloom.html.elements import elements, rows_of
 from corpusloom.operators import chunks, fit
 from corpusloom.sources.tables import PAGE_TASKS, spread
 
@@ -52,3 +52,12 @@ def test_pages_are_dealt_out_in_several_tasks_a_core(spark):
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(10).repartition(cores), PAGE_TASKS).rdd.getNumPartitions() == PAGE_TASKS * cores
     assert spread(spark.range(10).repartition(cores + 1)).rdd.getNumPartitions() == cores + 1
+
+
+def test_the_table_of_elements_takes_less_disk_than_its_pages(spark, tmp_path, monkeypatch):
+    page = "<html><body><article>" + "".join(f"<p>some words of a page, with <a href='/l{i}'>a link {i}</a></p>" for i in range(200)) + "</article></body></html>"
+    pages = spark.range(50).select("id", F.concat(F.lit("http://h.org/"), "id").alias("url"), F.lit(page).alias("html"))
+    monkeypatch.setattr("corpusloom.html.elements.shared_folder", lambda spark, name: f"{tmp_path}/{name}")
+    found = elements(pages, "id")
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert 0 < size < 50 * len(page) and found.where("tag = 'a'").count() == 50 * 200
